@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as V
-from .text import strip
+from .text import let, strip
 
 
 def parse_date(c: Column) -> Column:
@@ -36,33 +36,111 @@ def date_variants(c: Column) -> Column:
     return F.when(d.isNull(), F.array(c)).otherwise(date_spellings(d))
 
 
+def _above_decimal(x: Column, t: Column, digits: Column) -> Column:
+    """Sign of (binary value of x) - (its decimal notation t, with `digits` places), exactly.
+
+    x * 2^k is a whole number for a large enough k, so both sides can be compared as
+    whole decimals.
+    """
+    k = F.greatest(F.lit(52) - F.floor(F.log2(x)), F.lit(0)).cast("int")
+    half = F.floor(k / 2).cast("int")
+    one = F.lit(1).cast("long")
+    power = lambda n: F.call_function("shiftleft", one, n).cast("decimal(18,0)")
+    scale = F.pow(F.lit(10.0), digits).cast("decimal(12,0)")
+    left = (x * F.pow(F.lit(2.0), k)).cast("long").cast("decimal(20,0)") * scale
+    right = (t * scale).cast("decimal(18,0)") * (power(half) * power(k - half)).cast("decimal(20,0)")
+    return F.sign(left - right)
+
+
+def _rounded_units(x: Column, digits: Column) -> Column:
+    """x * 10^digits rounded to a whole number as C and Python print doubles.
+
+    They round the exact binary value, half to even. The decimal notation decides unless
+    it ends in a lone 5, where the binary value lies above, below or exactly on it.
+    """
+    t = x.try_cast("decimal(28,12)")
+
+    def settle(y):
+        low = F.floor(y)
+        side = _above_decimal(x, t, digits + 1)
+        up = (side > 0) | ((side == 0) & (low % 2 == 1))
+        return F.when(y - low == 0.5, low + F.when(up, 1).otherwise(0)).otherwise(F.round(y, 0)).cast("decimal(24,0)")
+
+    return let(t * F.pow(F.lit(10.0), digits).cast("decimal(10,0)"), settle)
+
+
+def _ordinary(c: Column) -> Column:
+    """Range in which the exact rounding applies; beyond it the platform's is used."""
+    return (F.abs(c) >= 1e-4) & (F.abs(c) < 1e10)
+
+
+def round_cents(c: Column) -> Column:
+    """Round to two decimals as Python does, as decimal(26,2)."""
+    cents = _rounded_units(F.abs(c), F.lit(2)) * F.lit("0.01").cast("decimal(2,2)")
+    exact = (F.signum(c).cast("decimal(1,0)") * cents).cast("decimal(26,2)")
+    return F.when(_ordinary(c), exact).otherwise(c.try_cast("decimal(26,2)"))
+
+
+def _two_decimals(c: Column) -> Column:
+    return F.when(_ordinary(c), round_cents(c).cast("string")).otherwise(F.format_string("%.2f", c))
+
+
+def _group_thousands(s: Column) -> Column:
+    return F.regexp_replace(s, r"(?<=\d)(?=(?:\d{3})+(?:\.|$))", ",")
+
+
+def _exponential(a: Column) -> Column:
+    sci = F.format_string("%.5e", a)
+    mantissa = F.regexp_replace(F.regexp_extract(sci, r"^([^e]+)e", 1), r"\.?0+$", "")
+    return F.concat(mantissa, F.regexp_extract(sci, r"(e[-+]\d+)$", 1))
+
+
 def _six_digits(c: Column) -> Column:
     """The shortest form with six significant digits (C-style %g)."""
-    sci = F.format_string("%.5e", c)
-    exponent = F.regexp_extract(sci, r"e([-+]\d+)$", 1).try_cast("int")
-    mantissa = F.regexp_replace(F.regexp_extract(sci, r"^([^e]+)e", 1), r"\.?0+$", "")
-    fixed = F.regexp_replace(
-        sci.try_cast("double").try_cast("decimal(24,10)").cast("string"), r"\.?0+$", ""
-    )
+    a = F.abs(c)
+    # places after the point that six significant digits leave
+    places = F.when(a < 1e-3, 9).when(a < 1e-2, 8).when(a < 0.1, 7).when(a < 1, 6)
+    for n in range(1, 7):
+        places = places.when(a < 10**n, 6 - n)
+    unit = F.pow(F.lit(10.0), places).cast("decimal(10,0)")
+    value = (_rounded_units(a, places).cast("decimal(10,0)") / unit).cast("decimal(20,10)")
+    # from a million on: whole amounts, rounded half to even at the sixth digit
+    step = F.when(a < 1e7, 10).when(a < 1e8, 100).when(a < 1e9, 1000).otherwise(10_000)
+    million = F.bround((a.try_cast("decimal(26,6)") / step).cast("decimal(26,6)"), 0).cast("double") * step
+    sign = F.when(c < 0, "-").otherwise("")
     return (
         F.when(c == 0, "0")
-        .when((exponent < -4) | (exponent >= 6), F.concat(mantissa, F.regexp_extract(sci, r"(e[-+]\d+)$", 1)))
-        .otherwise(fixed)
+        .when(~_ordinary(c), F.concat(sign, _exponential(a)))
+        .when(a >= 1e6, F.concat(sign, _exponential(million)))
+        .otherwise(
+            let(
+                value,
+                lambda v: F.when(v >= 1_000_000, F.concat(sign, F.lit("1e+06"))).otherwise(
+                    F.concat(sign, F.regexp_replace(v.cast("string"), r"\.?0+$", ""))
+                ),
+            )
+        )
     )
 
 
 def number_variants(c: Column) -> Column:
     """Spellings of an amount: two decimals, grouped, shortest, whole, and European."""
-    whole = c.try_cast("decimal(38,0)")
-    is_whole = whole.cast("double") == c
-    forms = F.array(
-        F.format_string("%.2f", c),
-        F.format_string("%,.2f", c),
-        _six_digits(c),
-        F.when(is_whole, whole.cast("string")),
-        F.when(is_whole, F.regexp_replace(F.format_string("%,.2f", c), r"\.00$", "")),
-        F.when(is_whole, F.concat(whole.cast("string"), F.lit(".00"))),
+
+    def spell(s):
+        fixed, whole = s["fixed"], F.regexp_extract(s["fixed"], r"^(.*)\.00$", 1)
+        is_whole = c == F.floor(c)
+        return F.array_compact(
+            F.array(
+                fixed,
+                _group_thousands(fixed),
+                s["short"],
+                F.when(is_whole, whole),
+                F.when(is_whole, _group_thousands(whole)),
+            )
+        )
+
+    plain = let(F.struct(_two_decimals(c).alias("fixed"), _six_digits(c).alias("short")), spell)
+    return let(
+        plain,
+        lambda p: F.array_distinct(F.concat(p, F.transform(p, lambda s: F.translate(s, ",.", ".,")))),
     )
-    plain = F.array_compact(forms)
-    european = F.transform(plain, lambda s: F.translate(s, ",.", ".,"))
-    return F.array_distinct(F.concat(plain, european))
