@@ -39,7 +39,7 @@ CTES = {
                CASE WHEN o_orderkey % 41 <> 0 THEN CAST(o_orderkey AS VARCHAR) END AS invoice_number,
                CASE WHEN o_orderkey % 53 = 0 THEN 'bad' WHEN o_orderkey % 7 = 0 THEN strftime(o_orderdate, '%d.%m.%Y')
                     ELSE strftime(o_orderdate, '%Y-%m-%d') END AS issue_date,
-               strftime(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 60 - 5 AS INTEGER), '%Y-%m-%d') AS due_date,
+               CASE WHEN o_orderkey % 59 = 0 THEN 'net 30' ELSE strftime(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 60 - 5 AS INTEGER), '%Y-%m-%d') END AS due_date,
                CASE WHEN o_orderkey % 29 <> 0 THEN c_name END AS vendor_name,
                c_mktsegment AS buyer_name,
                CASE WHEN o_orderkey % 3 = 0 THEN 'PO-' || o_custkey END AS po_number,

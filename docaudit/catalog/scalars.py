@@ -95,7 +95,7 @@ _SPACES = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029
 
 def sql_unescape(t):
     pairs = [("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"),
-             ("&nbsp;", "chr(160)"), ("&amp;", "'&'")]
+             ("&nbsp;", "chr(160)"), ("&copy;", "chr(169)"), ("&middot;", "chr(183)"), ("&amp;", "'&'")]
     for a, b in pairs:
         t = f"replace({t}, '{a}', {b})"
     return t

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.dates import parse_date
 from .functions.text import exact_sum
 from .operators.ranking import number_rows
 
@@ -16,8 +17,11 @@ ROWS_PER_DOCUMENT = 200
 PART_STEP = 1_000_000_000_000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A driver table; `spread` gives a small file, which is one split, to all cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
 
 
 def billed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +68,7 @@ def inv_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "case when l_partkey % 31 <> 0 then l_extendedprice end as amount"
     )
     totals = li.groupBy("l_orderkey").agg(exact_sum(F.col("amount")).alias("s"))
-    orders = table(spark, sf_dir, "orders").join(
+    orders = table(spark, sf_dir, "orders", spread=True).join(
         table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"),
         F.col("o_custkey") == F.col("c_custkey"),
         "left",
@@ -91,7 +95,8 @@ def inv_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             "case when o_orderkey % 41 <> 0 then cast(o_orderkey as string) end as invoice_number",
             "case when o_orderkey % 53 = 0 then 'bad' when o_orderkey % 7 = 0 then date_format(o_orderdate, 'dd.MM.yyyy')"
             " else date_format(o_orderdate, 'yyyy-MM-dd') end as issue_date",
-            "date_format(date_add(cast(o_orderdate as date), cast(o_orderkey % 60 - 5 as int)), 'yyyy-MM-dd') as due_date",
+            "case when o_orderkey % 59 = 0 then 'net 30' else"
+            " date_format(date_add(cast(o_orderdate as date), cast(o_orderkey % 60 - 5 as int)), 'yyyy-MM-dd') end as due_date",
             "case when o_orderkey % 29 <> 0 then c_name end as vendor_name",
             "c_mktsegment as buyer_name",
             "case when o_orderkey % 3 = 0 then concat('PO-', o_custkey) end as po_number",
@@ -216,3 +221,85 @@ def layout_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
             "to_json(named_struct('texts', flatten(transform(frags, x -> x.frags)))) as docling_json",
         )
     )
+
+
+def rule_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """inv_line_items with more holes, some negative quantities and row taxes."""
+    return inv_line_items(spark, sf_dir).selectExpr(
+        "id", "document_id", "position", "cast(position as bigint) as ord", "description",
+        "case when unit_price is null and document_id % 2 = 0 then null when position % 7 = 0 then -quantity"
+        " else quantity end as quantity",
+        "unit_price", "amount", "case when document_id % 4 = 0 then 1.25D end as tax",
+    )
+
+
+def collapsed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth document has lost its quantity and price columns into the description."""
+    return inv_items_exact(spark, sf_dir).selectExpr(
+        "document_id", "position", "cast(position as bigint) as ord",
+        "case when document_id % 4 = 0 and position % 3 <> 0 then concat(description, ' ', cast(quantity as bigint), ' pcs. € ',"
+        " cast(unit_price as decimal(18,2))) else description end as description",
+        "case when document_id % 4 <> 0 then quantity end as quantity",
+        "case when document_id % 4 <> 0 then unit_price end as unit_price",
+        "amount", "cast(null as double) as tax",
+    )
+
+
+def numbered_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts whose rows carry item numbers."""
+    return _render(
+        inv_items_exact(spark, sf_dir),
+        r"concat('| No | Item |\n|---|---|\n', body)",
+        "concat('| ', position, '. | ', description, ' |')",
+    ).withColumnRenamed("document_id", "id")
+
+
+def first_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most three items per document; every fifth document lacks its second one."""
+    return inv_items_exact(spark, sf_dir).filter(
+        "position <= 3 and not (document_id % 5 = 0 and position = 2)"
+    ).selectExpr("*", "cast(position as bigint) as ord", "cast(null as double) as tax")
+
+
+_AMOUNT_TEXT = (
+    "case when {x} is null then null when id % 3 = 0 then format_string('%,.2f', {x}) when id % 3 = 1 then translate(format_string('%,.2f', {x}), ',.', '.,')"
+    " else cast(cast({x} as decimal(18,2)) as string) end"
+)
+_DATE_TEXT = (
+    "case id % 4 when 0 then {x} when 1 then date_format({d}, 'dd/MM/yyyy') when 2 then date_format({d}, 'MMM dd, yyyy')"
+    " else date_format({d}, \"y'년' M'월' d'일'\") end"
+)
+
+
+def ground_docs(spark: SparkSession, sf_dir: str, altered: str = "id % 2 = 1") -> DataFrame:
+    """Documents whose text spells their values in varied ways; some headers are altered.
+
+    `altered` says for which documents the header no longer agrees with the text.
+    """
+    text = [
+        "concat('Invoice No. ', invoice_number)",
+        "concat('P.O.   ', lower(po_number))",
+        "concat('# ', upper(vendor_name))",
+        "concat('To: ', initcap(buyer_name))",
+        f"concat('Date: ', coalesce({_DATE_TEXT.format(x='issue_date', d='d1')}, issue_date))",
+        f"concat('Due: ', {_DATE_TEXT.format(x='due_date', d='d2')})",
+        *[f"concat('{n}: $', {_AMOUNT_TEXT.format(x=n)})" for n in ("subtotal", "tax", "shipping", "total_amount")],
+    ]
+    docs = (
+        inv_documents(spark, sf_dir)
+        .withColumn("d1", parse_date(F.col("issue_date")))
+        .withColumn("d2", parse_date(F.col("due_date")))
+        .withColumn("markdown", F.expr(f"concat_ws('\\n', {', '.join(text)})"))
+    )
+    change = {
+        "invoice_number": "concat(invoice_number, '-X')",
+        "po_number": "concat(po_number, '9X')",
+        "vendor_name": "if(id % 4 = 1, concat(vendor_name, ', 12 Main Street'), concat('Zz ', vendor_name))",
+        "buyer_name": "concat('Acme ', buyer_name)",
+        "issue_date": "if(issue_date = 'bad', 'Due after 30 days', date_format(d1 + interval 400 days, 'yyyy-MM-dd'))",
+        "due_date": "date_format(d2 + interval 400 days, 'yyyy-MM-dd')",
+        **{n: f"{n} + 1000.01D" for n in ("subtotal", "tax", "shipping", "total_amount")},
+    }
+    return docs.selectExpr(
+        *[f"if({altered}, {change[x]}, {x}) as {x}" if x in change else x for x in docs.columns if x not in ("d1", "d2")]
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,18 +24,32 @@ def parse_date(c: Column) -> Column:
     return F.coalesce(*tries)
 
 
+def _fill(form: str, parts: Column, name: str | None = None) -> Column:
+    """Concatenation described by a form such as 'dd/mm/y'."""
+    pieces = [x for x in re.split(r"(name|dd|mm|d|m|y)", form) if x]
+    known = {"dd", "mm", "d", "m", "y"}
+    return F.concat(*[parts[x] if x in known else parts[name] if x == "name" else F.lit(x) for x in pieces])
+
+
 def date_spellings(d: Column) -> Column:
-    """Notations a document may use for a date."""
-    forms = [o.format(s=s) for s in V.DATE_SEPARATORS for o in V.DATE_ORDERS]
-    forms += [f.format(m=m) for m in ("MMM", "MMMM") for f in V.MONTH_NAME_FORMS]
-    forms += V.KOREAN_DATE_FORMS
-    return F.array(*[F.date_format(d, f) for f in forms])
+    """Notations a document may use for a date; its parts are formatted once."""
+    parts = F.struct(
+        *[F.date_format(d, f).alias(n) for n, f in (
+            ("y", "y"), ("m", "M"), ("mm", "MM"), ("d", "d"), ("dd", "dd"), ("short", "MMM"), ("long", "MMMM"))]
+    )
+
+    def spell(p):
+        numeric = [o.format(s=s) for s in V.DATE_SEPARATORS for o in V.DATE_ORDERS]
+        forms = [_fill(f, p) for f in numeric]
+        forms += [_fill(f, p, n) for n in ("short", "long") for f in V.MONTH_NAME_FORMS]
+        return F.array(*forms, *[_fill(f, p) for f in V.KOREAN_DATE_FORMS])
+
+    return let(parts, spell)
 
 
 def date_variants(c: Column) -> Column:
     """All spellings of a date text, or the text itself when it is no date."""
-    d = parse_date(c)
-    return F.when(d.isNull(), F.array(c)).otherwise(date_spellings(d))
+    return let(parse_date(c), lambda d: F.when(d.isNull(), F.array(c)).otherwise(date_spellings(d)))
 
 
 def _above_decimal(x: Column, t: Column, digits: Column) -> Column:
@@ -82,7 +98,12 @@ def round_cents(c: Column) -> Column:
 
 
 def _two_decimals(c: Column) -> Column:
-    return F.when(_ordinary(c), round_cents(c).cast("string")).otherwise(F.format_string("%.2f", c))
+    cents = c.try_cast("decimal(18,2)")
+    return (
+        F.when(cents.cast("double") == c, cents.cast("string"))
+        .when(_ordinary(c), round_cents(c).cast("string"))
+        .otherwise(F.format_string("%.2f", c))
+    )
 
 
 def _group_thousands(s: Column) -> Column:
@@ -140,7 +161,8 @@ def number_variants(c: Column) -> Column:
         )
 
     plain = let(F.struct(_two_decimals(c).alias("fixed"), _six_digits(c).alias("short")), spell)
-    return let(
+    forms = let(
         plain,
         lambda p: F.array_distinct(F.concat(p, F.transform(p, lambda s: F.translate(s, ",.", ".,")))),
     )
+    return F.when(c.isNotNull(), forms)

@@ -78,12 +78,13 @@ DATE_FORMATS = [
     (r"^\d{1,2}/\d{1,2}/\d{4}$", ["d/M/yyyy", "M/d/yyyy"]),
 ]
 DATE_SEPARATORS = [".", "/", "-", " "]
-DATE_ORDERS = ["dd{s}MM{s}y", "MM{s}dd{s}y", "y{s}MM{s}dd", "d{s}M{s}y", "M{s}d{s}y"]
+# y year, m/mm month, d/dd day, name the month's name
+DATE_ORDERS = ["dd{s}mm{s}y", "mm{s}dd{s}y", "y{s}mm{s}dd", "d{s}m{s}y", "m{s}d{s}y"]
 MONTH_NAME_FORMS = [
-    "{m} dd, y", "{m} d, y", "{m} dd y", "{m} d y",
-    "dd {m} y", "d {m} y", "d-{m}-y", "dd-{m}-y",
+    "name dd, y", "name d, y", "name dd y", "name d y",
+    "dd name y", "d name y", "d-name-y", "dd-name-y",
 ]
-KOREAN_DATE_FORMS = ["y'년' M'월' d'일'", "y'년' MM'월' d'일'"]
+KOREAN_DATE_FORMS = ["y년 m월 d일", "y년 mm월 d일"]
 
 # --- table rows ---
 SUMMARY_WORDS = (

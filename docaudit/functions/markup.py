@@ -46,32 +46,26 @@ def _code_point(token: Column) -> Column:
     )
 
 
-def _decode_piece(piece: Column) -> Column:
+def _decode_piece(piece: Column, names: Column) -> Column:
     """Text after an ampersand with its leading entity resolved."""
 
     def resolve(token):
-        named = F.try_element_at(_entities(), token)
         # names that are also valid without their semicolon may be a mere prefix
         lengths = F.filter(
             F.sequence(F.least(F.length(token) - 1, F.lit(8)), F.lit(2), F.lit(-1)),
-            lambda n: F.map_contains_key(_entities(), F.substr(token, F.lit(1), n)),
+            lambda n: F.map_contains_key(names, F.substr(token, F.lit(1), n)),
         )
-        best = F.when(F.length(token) > 2, F.get(lengths, F.lit(0)))
         prefix = let(
-            best,
-            lambda n: F.when(
-                n.isNotNull(),
-                F.concat(
-                    F.try_element_at(_entities(), F.substr(token, F.lit(1), n)),
-                    F.substr(token, n + 1, F.length(token)),
-                ),
+            F.when(F.length(token) > 2, F.get(lengths, F.lit(0))),
+            lambda n: F.concat(
+                F.try_element_at(names, F.substr(token, F.lit(1), n)), F.substr(token, n + 1, F.length(token))
             ),
         )
         rest = F.substr(piece, F.length(token) + 1, F.length(piece))
         return F.concat(
             F.when(token == "", "&")
             .when(token.startswith("#"), _code_point(token))
-            .otherwise(F.coalesce(named, prefix, F.concat(F.lit("&"), token))),
+            .otherwise(F.coalesce(F.try_element_at(names, token), prefix, F.concat(F.lit("&"), token))),
             rest,
         )
 
@@ -83,7 +77,12 @@ def unescape_html(c: Column) -> Column:
     pieces = F.split(c, "&")
     decoded = F.concat(
         F.get(pieces, F.lit(0)),
-        F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), _decode_piece), ""),
+        let(
+            _entities(),
+            lambda names: F.array_join(
+                F.transform(F.slice(pieces, 2, F.size(pieces)), lambda p: _decode_piece(p, names)), ""
+            ),
+        ),
     )
     return F.when(F.contains(c, F.lit("&")), decoded).otherwise(c)
 
