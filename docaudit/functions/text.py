@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +14,19 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(build):
+    """A large column expression over fixed names, put together once per Spark context."""
+    made = {}
+
+    def column() -> Column:
+        context = SparkContext._active_spark_context
+        if made.get("context") is not context:
+            made.update(context=context, column=build())
+        return made["column"]
+
+    return column
+
+
 def any_of(words) -> str:
     """Regex alternation of literal words."""
     return "|".join("\\Q" + w + "\\E" for w in words)
@@ -40,10 +54,13 @@ def to_number(c: Column) -> Column:
     The later of two different separators is the decimal one; a lone kind of comma is
     decimal when one or two digits follow it. Anything that then is no number is NULL.
     """
-    token = F.regexp_extract(F.replace(to_text(c), F.lit(" "), F.lit("")), V.NUMBER_TOKEN, 0)
-    decimal_comma = token.rlike(r"\..*,[^.]*$|^[^.]*,[0-9]{1,2}$")
-    plain = F.when(decimal_comma, F.translate(token, ",.", ".")).otherwise(
-        F.translate(token, ",", "")
+    token = F.regexp_extract(F.replace(strip(c), F.lit(" "), F.lit("")), V.NUMBER_TOKEN, 0)
+    # blank words hold no digit, so their token is no number either
+    mark = F.translate(token, "-0123456789", "")
+    plain = (
+        F.when((mark == "") | (mark == "."), token)
+        .when(token.rlike(r"\..*,[^.]*$|^[^.]*,[0-9]{1,2}$"), F.translate(token, ",.", "."))
+        .otherwise(F.translate(token, ",", ""))
     )
     return plain.try_cast("double")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions.dates import date_spellings, date_variants, number_variants, parse_date
 from ..functions.markup import normalize
-from ..functions.text import let, strip
+from ..functions.text import let, once, strip
 from .issues import GROUNDING, issue, issue_rows
 
 c = F.col
@@ -81,15 +81,10 @@ def _check(hay: Column, name: str, kind: str, plain: Column, plain_head: Column)
     return F.when(stated, let(_found(hay, _forms(value, kind, plain)), outcome))
 
 
-def field_checks(docs: DataFrame, *keep: str) -> DataFrame:
-    """One array of (field, value, found, no_date, head) per document.
-
-    `head` is the part of a text value that is found where the whole is not.
-    """
+def _all_checks() -> Column:
     texts = [n for n, k in V.GROUNDED_FIELDS if k != "number"]
     names = [n for n, k in V.GROUNDED_FIELDS if k == "text"]
     raw = F.array(*[c(n) for n in texts], *[_first_part(c(n)) for n in names])
-    body = F.coalesce(c("markdown"), F.lit(""))
 
     def check(hay):
         def all_fields(plain):
@@ -103,7 +98,18 @@ def field_checks(docs: DataFrame, *keep: str) -> DataFrame:
 
         return let(F.transform(raw, normalize), all_fields)
 
-    return docs.select("id", *keep, let(normalize(body), check).alias("checks"))
+    return let(normalize(F.coalesce(c("markdown"), F.lit(""))), check)
+
+
+_CHECKS = once(_all_checks)
+
+
+def field_checks(docs: DataFrame, *keep: str) -> DataFrame:
+    """One array of (field, value, found, no_date, head) per document.
+
+    `head` is the part of a text value that is found where the whole is not.
+    """
+    return docs.select("id", *keep, _CHECKS().alias("checks"))
 
 
 def grounding_check(docs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells as fc
 from ..functions import fixed_values as V
-from ..functions.text import any_of, close_to, let, strip, to_number, to_text
+from ..functions.text import any_of, close_to, let, once, strip, to_number, to_text
 
 SLOTS = {"description": "d", "unit_price": "p", "tax": "t", "amount": "a", "quantity": "q"}
 MAPPING = "struct<d:int,p:int,t:int,a:int,q:int>"
@@ -501,44 +501,46 @@ def fragment_items(rows: Column, m: Column) -> Column:
 
 # --- P16 ----------------------------------------------------------------------------
 
+def _read_rows() -> Column:
+    zipped = F.arrays_zip(F.col("tables").alias("table"), F.col("plan").alias("step"))
+
+    def rows(x):
+        m, below = x["step"]["m"], F.slice(x["table"], 2, F.size(x["table"]))
+        return F.struct(
+            m.alias("m"),
+            F.when(x["step"]["header"], merge_spilled_text(below, m)).otherwise(x["table"]).alias("rows"),
+        )
+
+    return F.transform(F.filter(zipped, lambda x: x["step"]["m"].isNotNull()), rows)
+
+
+_TABLES = once(lambda: F.transform(table_rows(F.col("markdown")), typed_rows))
+_OWN = once(lambda: own_mappings(F.col("tables")))
+_PLAN = once(lambda: resolve_fragments(F.col("tables"), F.col("own")))
+_FRAGMENTS = once(_read_rows)
+_ITEMS = once(lambda: F.flatten(F.transform("fragments", lambda x: fragment_items(x["rows"], x["m"]))))
+_NUMBERED = once(lambda: keep_document_numbers(F.col("items")))
+
+
 def with_tables(docs: DataFrame) -> DataFrame:
     """Documents with their typed tables; those without a table row drop out at the scan."""
-    return docs.filter(F.contains(F.col("markdown"), F.lit("|"))).select(
-        "document_id", F.transform(table_rows(F.col("markdown")), typed_rows).alias("tables")
-    )
+    return docs.filter(F.contains(F.col("markdown"), F.lit("|"))).select("document_id", _TABLES().alias("tables"))
 
 
 def with_plan(tabled: DataFrame) -> DataFrame:
     """Typed tables with the mapping of each."""
-    return tabled.withColumn("own", own_mappings(F.col("tables"))).withColumn(
-        "plan", resolve_fragments(F.col("tables"), F.col("own"))
-    )
+    return tabled.withColumn("own", _OWN()).withColumn("plan", _PLAN())
 
 
 def data_rows(planned: DataFrame) -> DataFrame:
     """The rows to read of every table that has a mapping."""
-    zipped = F.arrays_zip(F.col("tables").alias("table"), F.col("plan").alias("step"))
-
-    def rows(x):
-        m, below = x["step"]["m"], F.slice(x["table"], 2, F.size(x["table"]))
-        return F.struct(
-            m.alias("m"),
-            F.when(x["step"]["header"], merge_spilled_text(below, m)).otherwise(x["table"]).alias("rows"),
-        )
-
-    return planned.select(
-        "document_id",
-        F.transform(F.filter(zipped, lambda x: x["step"]["m"].isNotNull()), rows).alias("fragments"),
-    )
+    return planned.select("document_id", _FRAGMENTS().alias("fragments"))
 
 
 def parse_line_items(docs: DataFrame) -> DataFrame:
     """Items of all documents (document_id, markdown); `ord` is the place in the document."""
-    read = data_rows(with_plan(with_tables(docs))).select(
-        "document_id",
-        F.flatten(F.transform("fragments", lambda x: fragment_items(x["rows"], x["m"]))).alias("items"),
-    )
-    numbered = read.select("document_id", keep_document_numbers(F.col("items")).alias("items"))
+    read = data_rows(with_plan(with_tables(docs))).select("document_id", _ITEMS().alias("items"))
+    numbered = read.select("document_id", _NUMBERED().alias("items"))
     return (
         numbered.select("document_id", F.posexplode_outer("items").alias("ord", "x"))
         .filter(F.col("x").isNotNull())

@@ -13,6 +13,8 @@ _SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a hot join key even where that costs one more exchange
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # small shuffles of costly rows still use all cores
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
     # nested array expressions resolve one level per pass of the analyzer
     "spark.sql.analyzer.maxIterations": "1000",
     # children hashed on document_id already satisfy (document_id, ...) groupings
