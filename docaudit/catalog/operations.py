@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..functions import fixed_values as V
-from ..functions.text import to_text
 from ..operators import lifecycle as lc
 from ..operators import tickets as tk
 from ..plans import audit
@@ -124,7 +123,7 @@ def _ticket_files(s, d):
 
 def _write_read_tickets(s, d):
     folder = shared_dir(s, "tickets")
-    fl.write_tickets(tickets(s, d).filter("number % 50 = 0"), folder)
+    fl.write_tickets(tickets(s, d), folder)
     return s.read.schema(TICKET).json(folder).select("number", "slug", "status", "created_at", "message")
 
 
@@ -179,10 +178,6 @@ def _batch(s, d):
     return audit.process_batch(empty_tables(s), batch(s, d), AS_OF, NOW, "m1")
 
 
-def _c15_outcomes(s, d):
-    return _batch(s, d)[1].select("arrival", "status", "skipped", c("error_count") > 0)
-
-
 def _c15_items(s, d):
     out = _batch(s, d)[0]
     names = out["documents"].select(c("id").alias("document_id"), "filename")
@@ -206,10 +201,8 @@ def _upload_stream(s, d):
 
 def _st1(s, d):
     folder = shared_dir(s, "arrivals")
-    text = fx.table(s, d, "pages").select("page_id", "html")
-    text.repartition(4).write.json(folder)  # files as they are uploaded
-    seen = si.stream_intake(s, folder).filter(fl.accepted(F.concat(c("filename"), F.lit(".txt"))))
-    return si.collect_stream(seen.select("filename", "file_hash", "size"), "intake")
+    fx.table(s, d, "pages").select("html").repartition(4).write.text(folder)  # the files that arrive
+    return si.collect_stream(si.stream_intake(s, folder).select("filename", "file_hash", "size"), "intake")
 
 
 def _st2(s, d):
@@ -248,7 +241,7 @@ def _st5(s, d):
 
 def _st6(kind):
     def run(s, d):
-        ev = si.stream_table(s, d, "events").selectExpr("ts", "case when value > 50 then 'critical' else 'warning' end as severity")
+        ev = si.stream_table(s, d, "events").selectExpr("cast(ts as timestamp) as ts", "case when value > 50 then 'critical' else 'warning' end as severity")
         out = si.collect_stream(si.error_windows(ev, c("ts"), kind), kind, "complete" if kind != "session" else "append")
         fmt = "yyyy-MM-dd HH:mm:ss"
         return out.select(F.date_format("start", fmt).alias("start_at"), F.date_format("end", fmt).alias("end_at"), "severity", "n")
@@ -289,7 +282,7 @@ QUERIES = {
     "c12_stored_paths": lambda s, d: lc.stored_paths(D(s, d), _ids(s, d, "id % 2 = 0"), "/data/uploads"),
     "c13_clean_item_edits": _clean,
     "c14_load_fields": lambda s, d: lc.load_fields(D(s, d), I(s, d)).select("document_id", "doc_type", "vendor_name", "total_amount", "position", "description", "amount"),
-    "c15_batch_outcomes": lambda s, d: _batch(s, d)[1].select("arrival", "status", "skipped"),
+    "c15_batch_outcomes": lambda s, d: _batch(s, d)[1].select("arrival", (c("status") == "FAILED").alias("failed"), "skipped"),
     "c15_batch_items": _c15_items,
     "q16_reparse_diff": _q16,
     "t1_list_tickets": lambda s, d: tk.list_tickets(tickets(s, d)),
@@ -358,7 +351,7 @@ _REC = dict(edited=_EDITED, sums=_SUMS, rechecked=_RECHECKED)
 _RX = ("inv_documents", "inv_line_items", "inv_items_exact")
 _NEWITEMS = """SELECT document_id, position, description, quantity, unit_price, amount FROM {i} WHERE {w}"""
 _TICKETS = """
-    SELECT event_id AS number, lpad(CAST(event_id AS VARCHAR), greatest(4, length(CAST(event_id AS VARCHAR))), '0') || '_' || strftime(ts, '%Y%m%d-%H%M%S') AS slug,
+    SELECT event_id AS number, lpad(CAST(event_id AS VARCHAR), CAST(greatest(4, length(CAST(event_id AS VARCHAR))) AS INTEGER), '0') || '_' || strftime(ts, '%Y%m%d-%H%M%S') AS slug,
            CASE WHEN event_id % 3 = 0 THEN 'RESOLVED' ELSE 'OPEN' END AS status, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS created_at,
            event_type AS section, CASE WHEN event_id % 2 = 0 THEN user_id END AS document_id, event_type || ' broke' || chr(10) || props AS message, ts
     FROM events"""
@@ -445,6 +438,9 @@ ORACLES = {
     "c15_batch_items": sql(
         """SELECT document_id AS arrival, position, description, quantity, unit_price, amount FROM inv_items_exact
            WHERE document_id % 50 <> 0 AND document_id IN (SELECT o_orderkey FROM orders)""", "inv_items_exact"),
+    "c15_batch_outcomes": sql(
+        """SELECT DISTINCT document_id AS arrival, document_id % 50 = 0 AS failed, false AS skipped FROM inv_items_exact
+           WHERE document_id IN (SELECT o_orderkey FROM orders)""", "inv_items_exact"),
     "q16_reparse_diff": sql(
         """SELECT id AS document_id, coalesce(s, 0) AS items_saved, coalesce(e, 0) AS errors_saved, n AS items_now, n - 2 AS recovered,
                   n AS checked, n AS checked_ok, n <> coalesce(s, 0) AS differs
@@ -458,7 +454,7 @@ ORACLES = {
         tickets=_TICKETS),
     "t2_ticket_counts": sql("SELECT count(*) FILTER (status = 'OPEN') AS open, count(*) AS total FROM tickets", tickets=_TICKETS),
     "t3_number_tickets": sql(
-        """SELECT ticket_key, number, lpad(CAST(number AS VARCHAR), greatest(4, length(CAST(number AS VARCHAR))), '0') || '_' || strftime(ts, '%Y%m%d-%H%M%S')
+        """SELECT ticket_key, number, lpad(CAST(number AS VARCHAR), CAST(greatest(4, length(CAST(number AS VARCHAR))) AS INTEGER), '0') || '_' || strftime(ts, '%Y%m%d-%H%M%S')
                   || CASE WHEN document_id IS NOT NULL THEN '_doc' || document_id ELSE '' END AS slug, 'OPEN' AS status
            FROM (SELECT number AS ticket_key, ts, document_id, (SELECT max(CAST(split_part(slug, '_', 1) AS INTEGER)) FROM tickets)
                         + row_number() OVER (ORDER BY created_at, number) AS number FROM tickets)""", tickets=_TICKETS),
@@ -480,7 +476,7 @@ ORACLES = {
     "io5_read_tickets": sql(
         """SELECT CASE WHEN b THEN 0 ELSE number END AS number, slug, CASE WHEN b THEN 'OPEN' ELSE status END AS status, created_at,
                   CASE WHEN NOT b THEN document_id END AS document_id FROM (SELECT *, number % 7 = 0 AS b FROM tickets)""", tickets=_TICKETS),
-    "io6_write_tickets": sql("SELECT number, slug, status, created_at, message FROM tickets WHERE number % 50 = 0", tickets=_TICKETS),
+    "io6_write_tickets": sql("SELECT number, slug, status, created_at, message FROM tickets", tickets=_TICKETS),
     "io7_evolve_schema": sql(
         "SELECT id, CAST(NULL AS DOUBLE) AS tax, CAST(NULL AS VARCHAR) AS model, status FROM inv_documents", "inv_documents"),
     "io8_imported_documents": sql(
@@ -507,10 +503,10 @@ ORACLES = {
     "st2_stream_reserve": sql(_RESERVED, "inv_uploads", **_RES),
     "st5_stream_status_counts": sql("SELECT status, count(*) AS n FROM inv_documents GROUP BY status", "inv_documents"),
     "st4_stream_stale": f"""
-        SELECT id, 'FAILED' AS status FROM (SELECT id, max(at) AS at, arg_max(status, at) AS status
-            FROM (SELECT user_id AS id, ts AS at, max(CASE WHEN event_type = 'click' THEN 'PROCESSING' ELSE 'PENDING' END) AS status
+        SELECT id, 'FAILED' AS status FROM (SELECT id, max(seen) AS seen, arg_max(status, seen) AS status
+            FROM (SELECT user_id AS id, ts AS seen, max(CASE WHEN event_type = 'click' THEN 'PROCESSING' ELSE 'PENDING' END) AS status
                   FROM events GROUP BY 1, 2) GROUP BY 1)
-        WHERE status = 'PROCESSING' AND at + INTERVAL {V.STALE_MINUTES} MINUTE < (SELECT max(ts) FROM events)""",
+        WHERE status = 'PROCESSING' AND seen + INTERVAL {V.STALE_MINUTES} MINUTE < (SELECT max(ts) FROM events)""",
     "st6_tumbling_errors": _window(24, 24),
     "st6_sliding_errors": _window(24, 12),
 }

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions.text import strip
 from ..schemas import DOCUMENTS, HEADER_FIELDS, VALIDATION_ERRORS
+from ..session import settled
 from .ranking import number_rows
 from .rules import revalidate, verdicts
 
@@ -22,9 +23,13 @@ c = F.col
 
 
 def assign_ids(rows: DataFrame, existing: DataFrame, order: list[Column]) -> DataFrame:
-    """`id` = highest existing id + place in `order`."""
+    """`id` = highest existing id + place in `order`.
+
+    The rows are settled first: numbering reads them several times.
+    """
     highest = existing.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    return number_rows(rows, [], order, "__no").withColumn("id", (highest + c("__no")).cast("long")).drop("__no")
+    numbered = number_rows(settled(rows, "unnumbered"), [], order, "__no")
+    return numbered.withColumn("id", (highest + c("__no")).cast("long")).drop("__no")
 
 
 # --- C1 -----------------------------------------------------------------------------
@@ -186,7 +191,7 @@ def recheck(
     keys = edits.select("document_id").distinct()
     new_docs, new_items = update_fields(docs, items, edits, edit_items, now)
     edited = new_docs.join(keys.withColumnRenamed("document_id", "id"), "id", "left_semi")
-    issues = revalidate(edited, edit_items, as_of)
+    issues = settled(revalidate(edited, edit_items, as_of), "recheck")
     checked = verdicts(edited, issues)
     return new_docs, new_items, replace_errors(errors, keys, issues, now), checked
 

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..functions import fixed_values as V
 from ..operators.lifecycle import assign_ids
 from ..operators.ranking import number_rows
+from ..session import settled
 from ..schemas import DOCUMENTS, HEADER, HEADER_FIELDS, LINE_ITEMS, VALIDATION_ERRORS, check_header
 
 c = F.col
@@ -114,7 +115,9 @@ def legacy_import(
     the document is validated.
     """
     fresh = _old_fields(old_docs).join(existing["documents"].select("filename").distinct(), "filename", "left_anti")
-    numbered = assign_ids(fresh.withColumnRenamed("id", "old_id"), existing["documents"], [c("old_id")])
+    numbered = settled(
+        assign_ids(fresh.withColumnRenamed("id", "old_id"), existing["documents"], [c("old_id")]), "imported"
+    )
     header = [F.when(c("f").isNotNull(), c(f"f.{n}")).otherwise(c(n)).alias(n) for n in HEADER_FIELDS]
     blank = lambda n, v: F.coalesce(c(n), F.lit(v)).alias(n)
     given = {
@@ -138,7 +141,7 @@ def legacy_import(
         .withColumn("position", F.lit(None).cast("int")).withColumn("tax", F.lit(None).cast("double"))
         .select(*shape, "position", "tax")
     )
-    ordered = number_rows(nested.unionByName(plain), ["document_id"], [c("place")], "ord")
+    ordered = number_rows(settled(nested.unionByName(plain), "lines"), ["document_id"], [c("place")], "ord")
     gaps = ordered.filter(c("position").isNull()).select("document_id").distinct().withColumn("gap", F.lit(True))
     items = (
         ordered.join(gaps, "document_id", "left")
