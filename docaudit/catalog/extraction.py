@@ -9,8 +9,8 @@ from ..operators import header as hd
 from ..operators import layout as lo
 from ..operators import tables as tb
 from ..operators.lifecycle import assign_positions
+from ..session import settled
 from .adapters import sql
-from .rules import _GD
 from .scalars import sql_unescape
 
 c = F.col
@@ -159,12 +159,12 @@ def _l4(s, d):
 
 def _l5(s, d):
     docs = fx.layout_scatter(s, d)
-    return lo.recover_missing_items(tb.parse_line_items(docs), docs)[0].select(*ITEM, "ord")
+    return lo.recover_missing_items(settled(tb.parse_line_items(docs), "parsed"), docs)[0].select(*ITEM, "ord")
 
 
 def _l6(s, d):
     docs = fx.layout_scatter(s, d)
-    counts = lo.recover_missing_items(tb.parse_line_items(docs), docs)[1]
+    counts = lo.recover_missing_items(settled(tb.parse_line_items(docs), "parsed"), docs)[1]
     return lo.recovery_issues(counts).select("document_id", "code", "field", "severity", "message")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as V
-from .text import strip
+from .text import let, strip
 
 _NUMERIC = (
     rf"(?iU)^\s*(?:{V.CURRENCY})?\s*[-+]?\d[\d.,\s]*\s*"
@@ -40,11 +40,14 @@ def item_number_cell(c: Column) -> Column:
 
 def is_summary_row(cells: Column) -> Column:
     """A totals row: summary words anywhere, or one cell that is only a label."""
-    label = F.exists(
-        cells,
-        lambda x: F.regexp_replace(F.lower(strip(x)), ":+$", "").isin(V.SUMMARY_LABELS),
+    label = F.exists(cells, lambda x: F.rtrim(F.lower(strip(x)), F.lit(":")).isin(V.SUMMARY_LABELS))
+    # every summary word holds one of these; the costly pattern runs only where one occurs
+    likely = "total|tax|vat|shipping|handling|due|합계|소계|부가세|공급가액"
+    worded = let(
+        F.array_join(cells, " "),
+        lambda row: F.lower(row).rlike(likely) & row.rlike(f"(?iU){V.SUMMARY_WORDS}"),
     )
-    return F.array_join(cells, " ").rlike(f"(?iU){V.SUMMARY_WORDS}") | label
+    return worded | label
 
 
 def has_quantity_text(c: Column) -> Column:

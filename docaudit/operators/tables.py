@@ -77,26 +77,28 @@ def explode_table_rows(docs: DataFrame) -> DataFrame:
 
 
 def _cell(t: Column) -> Column:
-    """A cell with everything later steps ask about it."""
-    number = fc.is_number_cell(t)
+    """A stripped cell with everything later steps ask about it.
 
-    def described(x):
-        # a cell that is only a number holds no quantity or price besides itself
+    Cells without a digit, most descriptions, skip the number patterns; a cell that is
+    only a number holds no quantity or price besides itself.
+    """
+
+    def described(flags):
+        digit, number = flags["digit"], flags["number"]
+        inner = digit & ~number
+        x = F.when(F.lower(t).isin(V.BLANK_WORDS), "").otherwise(t)
         return F.struct(
             t.alias("t"),
             x.alias("x"),
-            to_number(t).alias("v"),
+            F.when(digit, to_number(t)).alias("v"),
             number.alias("d"),
-            fc.item_number_cell(t).alias("k"),
-            t.rlike(r"\p{L}").alias("a"),
-            fc.has_currency(t).alias("m"),
-            fc.has_unit(t).alias("u"),
-            F.when(~number, fc.embedded_quantities(x)).alias("e"),
-            to_number(fc.trailing_number(x)).alias("tn"),
-            fc.before_trailing_number(x).alias("th"),
+            F.when(number, fc.item_number_cell(t)).alias("k"),
+            F.when(inner, fc.embedded_quantities(x)).alias("e"),
+            F.when(inner, to_number(fc.trailing_number(x))).alias("tn"),
+            F.when(inner, fc.before_trailing_number(x)).alias("th"),
         )
 
-    return let(F.coalesce(to_text(t), F.lit("")), described)
+    return let(F.struct(t.rlike("[0-9]").alias("digit"), fc.is_number_cell(t).alias("number")), described)
 
 
 def _typed_row(cells: Column) -> Column:
@@ -137,8 +139,11 @@ def map_columns(header: Column) -> Column:
 
 # --- P3, P4 -------------------------------------------------------------------------
 
-def column_shapes(rows: Column) -> Column:
-    """Per column of typed rows: is it numeric, its mean text length, money and unit marks."""
+def column_shapes(rows: Column, marks: bool = True) -> Column:
+    """Per column of typed rows: is it numeric, its mean text length, money and unit marks.
+
+    The marks are looked for only where a caller weighs them.
+    """
 
     def shapes(data):
         width = F.coalesce(F.array_max(F.transform(data, lambda r: F.size(r["c"]))), F.lit(0))
@@ -146,17 +151,18 @@ def column_shapes(rows: Column) -> Column:
         def shape(i):
             def measure(col):
                 n = F.size(col)
-                share = lambda flag: F.size(F.filter(col, lambda x: x[flag])) / n
+                share = lambda test: F.size(F.filter(col, test)) / n
                 text = F.aggregate(
                     F.filter(col, lambda x: ~x["d"]), F.lit(0), lambda acc, x: acc + F.length(x["t"])
                 )
-                rate = lambda flag, least: F.when(n > 0, share(flag) >= least).otherwise(F.lit(False))
+                rate = lambda test, least: F.when(n > 0, share(test) >= least).otherwise(F.lit(False))
+                mark = lambda test: rate(lambda x: test(x["t"]), 0.6) if marks else F.lit(False)
                 return F.struct(
                     i.alias("i"),
-                    rate("d", 0.8).alias("num"),
+                    rate(lambda x: x["d"], 0.8).alias("num"),
                     F.when(n > 0, text / n).otherwise(F.lit(0.0)).alias("len"),
-                    rate("m", 0.6).alias("money"),
-                    rate("u", 0.6).alias("unit"),
+                    mark(fc.has_currency).alias("money"),
+                    mark(fc.has_unit).alias("unit"),
                 )
 
             cells = F.transform(data, lambda r: F.get(r["c"], i))
@@ -232,9 +238,8 @@ def build_item(cells: Column, m: Column) -> Column:
 
         return F.when(~no_item, let(tail_count, with_tail))
 
-    has_letters = (
-        F.when(at("p")["a"], "p").when(at("q")["a"], "q").when(at("t")["a"], "t")
-    )
+    worded = lambda k: at(k)["t"].rlike(r"\p{L}")
+    has_letters = F.when(worded("p"), "p").when(worded("q"), "q").when(worded("t"), "t")
     swapped = F.when(at("d")["k"].isNotNull(), has_letters)
     return let(let(swapped, read), repair)
 
@@ -331,7 +336,7 @@ def infer_mapping(rows: Column) -> Column:
         enough = (F.size(shapes) >= 3) & (F.size(num) >= 2)
         return F.when(enough, let(ends, place))
 
-    return F.when(F.size(rows) >= 2, let(column_shapes(rows), infer))
+    return F.when(F.size(rows) >= 2, let(column_shapes(rows, marks=False), infer))
 
 
 def single_amount_mapping(rows: Column) -> Column:
@@ -343,7 +348,7 @@ def single_amount_mapping(rows: Column) -> Column:
         fits = (F.size(num) == 1) & (F.size(texts) > 0)
         return F.when(fits, _mapping(d=_longest(texts), a=F.get(num, F.lit(0))["i"]))
 
-    return let(column_shapes(rows), single)
+    return let(column_shapes(rows, marks=False), single)
 
 
 # --- P10, P11 -----------------------------------------------------------------------
@@ -418,8 +423,10 @@ def merge_spilled_text(rows: Column, m: Column) -> Column:
 
         return F.when(F.size(spill) == 0, rows).otherwise(F.transform(rows, one))
 
-    outside = F.filter(column_shapes(rows), lambda s: ~_used(m, s["i"]) & ~s["num"] & (s["len"] > 0))
-    return let(F.transform(outside, lambda s: s["i"]), merge)
+    outside = F.filter(column_shapes(rows, marks=False), lambda s: ~_used(m, s["i"]) & ~s["num"] & (s["len"] > 0))
+    width = F.array_max(F.transform(rows, lambda r: F.size(r["c"])))
+    unmapped = F.exists(_indexes(F.coalesce(width, F.lit(0))), lambda i: ~_used(m, i))
+    return F.when(unmapped, let(F.transform(outside, lambda s: s["i"]), merge)).otherwise(rows)
 
 
 # --- P13-P15 ------------------------------------------------------------------------
