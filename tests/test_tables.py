@@ -21,7 +21,7 @@ CASES = {
         [(None, "red anvil", 2, 10, 20), (None, "big anvil", 2, 10, 20), (None, "big gear", 3, 5, 15)]),
     9: ("| Address | City |\n|--|--|\n| foo | bar |\n", []),
     # the description cell holds only a number, the name has slipped to the price cell
-    10: ("| No | Description | Price | Total |\n|--|--|--|--|\n| a | 26 | 3-230 - Anchor Bolts (21) 41.41 | 869.61 |\n| b | 28 | Rods (2) 3.00 | 6.00 |\n",
+    10: ("| Description | Price | Total |\n|--|--|--|\n| 26 | 3-230 - Anchor Bolts (21) 41.41 | 869.61 |\n| 28 | Rods (2) 3.00 | 6.00 |\n",
          [(26, "3-230 - Anchor Bolts (21)", 21, 41.41, 869.61), (28, "Rods (2)", 2, 3, 6)]),
     # amount two cells on
     11: ("| Service | Price | Total | x |\n|--|--|--|--|\n| Wall (25) | 99.25 |  | 2481.25 |\n| Door (2) | 3.00 | 6.00 | |\n",
