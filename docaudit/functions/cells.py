@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as V
-from .text import let, strip
+from .text import cast_found, let, strip
 
 _NUMERIC = (
     rf"(?iU)^\s*(?:{V.CURRENCY})?\s*[-+]?\d[\d.,\s]*\s*"
@@ -16,7 +16,7 @@ _NUMERIC = (
 
 def embedded_quantities(c: Column) -> Column:
     """Quantities written inside a description, one per pattern, in pattern order."""
-    found = [F.regexp_extract(c, f"(?iU){p}", 1).try_cast("double") for p in V.EMBEDDED_QUANTITY]
+    found = [cast_found(F.regexp_extract(c, f"(?iU){p}", 1), "double") for p in V.EMBEDDED_QUANTITY]
     return F.array_compact(F.array(*found))
 
 
@@ -35,7 +35,7 @@ def has_unit(c: Column) -> Column:
 
 def item_number_cell(c: Column) -> Column:
     """Item number of a cell holding nothing else."""
-    return F.regexp_extract(F.coalesce(c, F.lit("")), f"(?U){V.ITEM_NUMBER_CELL}", 1).try_cast("int")
+    return cast_found(F.regexp_extract(F.coalesce(c, F.lit("")), f"(?U){V.ITEM_NUMBER_CELL}", 1), "int")
 
 
 def is_summary_row(cells: Column) -> Column:

@@ -27,6 +27,11 @@ def once(build):
     return column
 
 
+def cast_found(found: Column, kind: str) -> Column:
+    """A matched text as a number; no match ('') is NULL without a failing, costly cast."""
+    return let(found, lambda s: F.when(s != "", s.try_cast(kind)))
+
+
 def any_of(words) -> str:
     """Regex alternation of literal words."""
     return "|".join("\\Q" + w + "\\E" for w in words)
@@ -55,14 +60,18 @@ def to_number(c: Column) -> Column:
     decimal when one or two digits follow it. Anything that then is no number is NULL.
     """
     token = F.regexp_extract(F.replace(strip(c), F.lit(" "), F.lit("")), V.NUMBER_TOKEN, 0)
-    # blank words hold no digit, so their token is no number either
-    mark = F.translate(token, "-0123456789", "")
-    plain = (
-        F.when((mark == "") | (mark == "."), token)
-        .when(token.rlike(r"\..*,[^.]*$|^[^.]*,[0-9]{1,2}$"), F.translate(token, ",.", "."))
-        .otherwise(F.translate(token, ",", ""))
-    )
-    return plain.try_cast("double")
+
+    def read(t):
+        # blank words hold no digit, so their token is no number either
+        mark = F.translate(t, "-0123456789", "")
+        plain = (
+            F.when((mark == "") | (mark == "."), t)
+            .when(t.rlike(r"\..*,[^.]*$|^[^.]*,[0-9]{1,2}$"), F.translate(t, ",.", "."))
+            .otherwise(F.translate(t, ",", ""))
+        )
+        return F.when(t.rlike("[0-9]"), plain.try_cast("double"))
+
+    return let(token, read)
 
 
 def head_tail_excerpt(c: Column, limit: int = V.EXCERPT_LIMIT) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells as fc
 from ..functions import fixed_values as V
-from ..functions.text import any_of, close_to, let, once, strip, to_number, to_text
+from ..functions.text import any_of, cast_found, close_to, let, once, strip, to_number, to_text
 
 SLOTS = {"description": "d", "unit_price": "p", "tax": "t", "amount": "a", "quantity": "q"}
 MAPPING = "struct<d:int,p:int,t:int,a:int,q:int>"
@@ -454,7 +454,7 @@ def _strictly_ascending(v: Column) -> Column:
 def strip_row_numbers(items: Column) -> Column:
     """Row numbers glued to the descriptions of a fragment become positions."""
     pattern = f"(?U){V.LEADING_ITEM_NUMBER}"
-    leading = F.transform(items, lambda x: F.regexp_extract(x["d"], pattern, 1).try_cast("int"))
+    leading = F.transform(items, lambda x: cast_found(F.regexp_extract(x["d"], pattern, 1), "int"))
 
     def settle(lead):
         def with_present(present):
