@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality_rules, secret_scan
+from pyspark.sql import functions as F
+
+from . import exact_dedup, mixing, packing, quality_classifier, quality_rules, secret_scan
 from .common import table
 
 
+def op1_source_mix(spark, sf_dir):
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_packing(spark, sf_dir):
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def op6_quality_rules(spark, sf_dir):
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select(
@@ -17,11 +34,18 @@ def op6_quality_rules(spark, sf_dir):
     )
 
 
+def op8_quality_classifier(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_classifier.score(docs, quality_classifier.train(docs, labels))
+
+
 def op9_secret_scan(spark, sf_dir):
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in [op2_exact_dedup, op6_quality_rules, op9_secret_scan]}
+QUERIES = {f.__name__: f for f in [
+    op1_source_mix, op2_exact_dedup, op3_packing, op6_quality_rules, op8_quality_classifier, op9_secret_scan,
+]}
 
 ORACLES = {
     "op2_exact_dedup": """
