@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, quality_classifier, quality_rules, secret_scan
+from . import exact_dedup, language_model, mixing, packing, quality_classifier, quality_rules, secret_scan, warc
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op3_packing(spark, sf_dir):
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op5_language_model(spark, sf_dir):
+    return language_model.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark, sf_dir):
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select(
@@ -43,8 +47,13 @@ def op9_secret_scan(spark, sf_dir):
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark, sf_dir):
+    return warc.archive_pages(table(spark, sf_dir, "pages")).drop("target_uri")
+
+
 QUERIES = {f.__name__: f for f in [
-    op1_source_mix, op2_exact_dedup, op3_packing, op6_quality_rules, op8_quality_classifier, op9_secret_scan,
+    op1_source_mix, op2_exact_dedup, op3_packing, op5_language_model, op6_quality_rules,
+    op8_quality_classifier, op9_secret_scan, op10_warc,
 ]}
 
 ORACLES = {
@@ -55,4 +64,13 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
         FROM normal""",
+    "op10_warc": """
+        WITH digested AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+                   max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last_id
+            FROM pages)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN last_id END AS refers_to
+        FROM digested""",
 }
