@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_model, mixing, packing, quality_classifier, quality_rules, secret_scan, warc
+from . import exact_dedup, jaccard_join, language_model, mixing, packing, quality_classifier, quality_rules, secret_scan, warc
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op3_packing(spark, sf_dir):
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op4_jaccard_join(spark, sf_dir):
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op5_language_model(spark, sf_dir):
     return language_model.score_texts(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_warc(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in [
-    op1_source_mix, op2_exact_dedup, op3_packing, op5_language_model, op6_quality_rules,
+    op1_source_mix, op2_exact_dedup, op3_packing, op4_jaccard_join, op5_language_model, op6_quality_rules,
     op8_quality_classifier, op9_secret_scan, op10_warc,
 ]}
 

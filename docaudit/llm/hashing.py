@@ -89,9 +89,9 @@ def shingle_sets(words: np.ndarray, bounds: np.ndarray, width: int):
         if high - low >= width:
             yield np.unique(rolled[low : high - width + 1])
         elif high > low:
-            short = np.uint64(high - low)
-            for w in words[low:high]:
-                short = mix(np.array([short * _BASE + w], np.uint64))[0]
-            yield np.array([short], np.uint64)
+            short = np.full(1, high - low, np.uint64)
+            for i in range(low, high):
+                short = mix(short * _BASE + words[i : i + 1])
+            yield short
         else:
             yield np.zeros(0, np.uint64)
