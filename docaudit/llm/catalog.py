@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, language_model, mixing, packing, quality_classifier, quality_rules, secret_scan, warc
+from . import exact_dedup, jaccard_join, language_model, mixing, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, warc
 from .common import table
 
 
@@ -16,14 +17,8 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 def op3_packing(spark, sf_dir):
-    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), packing.default_tokenizer())
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
@@ -42,6 +37,10 @@ def op6_quality_rules(spark, sf_dir):
     )
 
 
+def op7_substring_dedup(spark, sf_dir):
+    return substring_dedup.repeated_units(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality_classifier.score(docs, quality_classifier.train(docs, labels))
@@ -57,8 +56,9 @@ def op10_warc(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in [
     op1_source_mix, op2_exact_dedup, op3_packing, op4_jaccard_join, op5_language_model, op6_quality_rules,
-    op8_quality_classifier, op9_secret_scan, op10_warc,
+    op7_substring_dedup, op8_quality_classifier, op9_secret_scan, op10_warc,
 ]}
+QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLES = {
     "op2_exact_dedup": """

@@ -30,6 +30,12 @@ SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 _SPECIAL = "<|endoftext|>"
 
 
+def default_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 @lru_cache(maxsize=2)
 def _encoders(path: str):
     """(the tokenizer, the same vocabulary as a byte-pair encoder with and without look-ahead)."""
