@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from ..fixtures import PART_STEP, ROWS_PER_DOCUMENT
-
 _ISO = "'%Y-%m-%dT%H:%M:%S+00:00'"
 
 CTES = {
@@ -21,9 +19,8 @@ CTES = {
                CASE WHEN l_partkey % 31 <> 0 THEN l_extendedprice END AS amount,
                CAST(NULL AS DOUBLE) AS tax
         FROM billed_lines""",
-    "inv_items_exact": f"""
-        SELECT l_orderkey + ((rn - 1) // {ROWS_PER_DOCUMENT}) * {PART_STEP} AS document_id,
-               CAST((rn - 1) % {ROWS_PER_DOCUMENT} + 1 AS INTEGER) AS position,
+    "inv_items_exact": """
+        SELECT l_orderkey AS document_id, CAST(rn AS INTEGER) AS position,
                p_name AS description, CAST(q AS DOUBLE) AS quantity,
                unit_cents / 100.0::DOUBLE AS unit_price, (q * unit_cents) / 100.0::DOUBLE AS amount
         FROM billed_lines""",

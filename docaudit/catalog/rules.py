@@ -29,8 +29,8 @@ def _verdict_counts(df):
 
 
 def _r18_status(s, d):
-    docs = D(s, d)
-    checked = r.verdicts(docs, r.rule_check(docs, I(s, d), AS_OF, with_text=False))
+    docs = fx.listed_documents(s, d)
+    checked = r.verdicts(docs, r.rule_check(docs, I(s, d), AS_OF))
     return r.assign_status(checked)
 
 
@@ -66,7 +66,11 @@ def _collapsed(s, d):
 
 def _truncated(s, d):
     items = fx.first_items(s, d)
-    return r.truncated_items(fx.numbered_source(s, d), items, r.item_totals(items)).select(*OUT, "message")
+    # every eleventh source goes on for 300 numbers more
+    more = F.expr("if(id % 11 = 0, array_join(transform(sequence(1, 300), i -> concat('\n| ', k + i, '. | x |')), ''), '')")
+    last = fx.inv_items_exact(s, d).groupBy("document_id").agg(F.max("position").alias("k"))
+    docs = fx.numbered_source(s, d).join(last, c("id") == c("document_id")).withColumn("markdown", F.concat("markdown", more))
+    return r.truncated_items(docs.select("id", "markdown"), items, r.item_totals(items)).select(*OUT, "message")
 
 
 def _validated(s, d):
@@ -78,11 +82,12 @@ QUERIES = {f"r{n}_rule": _rule(f"R{n}") for n in (1, 2, 3, 4, 5, 6, 8, 10, 11, 1
 QUERIES |= {
     "r7_collapsed_columns": _collapsed,
     "r9_truncated_items": _truncated,
-    "r18_rule_check": lambda s, d: r.rule_check(D(s, d), I(s, d), AS_OF, with_text=False).select(*OUT),
+    "r18_rule_check": lambda s, d: r.rule_check(fx.listed_documents(s, d), I(s, d), AS_OF).select(*OUT, "message").withColumn(
+        "message", F.when(c("code").isin("R7", "R9"), c("message"))),
     "v1_dedupe_issues": lambda s, d: dedupe_issues(_repeated(s, d)).select("document_id", "stage", "row", "field", "severity"),
     "v2_validate": lambda s, d: r.validate(fx.ground_docs(s, d), I(s, d), AS_OF).select(*OUT),
     "v2_verdicts": _validated,
-    "v3_revalidate": lambda s, d: r.revalidate(D(s, d), I(s, d), AS_OF, with_text=False).groupBy("code", "severity").agg(
+    "v3_revalidate": lambda s, d: r.revalidate(fx.listed_documents(s, d), I(s, d), AS_OF).groupBy("code", "severity").agg(
         F.count("*").alias("n")),
     "v4_assign_status": _r18_status,
     "v4_status_summary": lambda s, d: _verdict_counts(_r18_status(s, d)),
@@ -97,9 +102,11 @@ QUERIES |= {
 # --- SQL ----------------------------------------------------------------------------
 
 _ITEMS = """
-    SELECT id, document_id, position, description,
-           CASE WHEN unit_price IS NULL AND document_id % 2 = 0 THEN NULL WHEN position % 7 = 0 THEN -quantity ELSE quantity END AS quantity,
-           unit_price, amount, CASE WHEN document_id % 4 = 0 THEN 1.25::DOUBLE END AS tax FROM inv_line_items"""
+    SELECT id, document_id, position,
+           CASE WHEN document_id % 9 = 0 THEN description || ' 5 pcs. € 2' ELSE description END AS description,
+           CASE WHEN document_id % 9 = 0 OR unit_price IS NULL AND document_id % 2 = 0 THEN NULL
+                WHEN position % 7 = 0 THEN -quantity ELSE quantity END AS quantity,
+           CASE WHEN document_id % 9 <> 0 THEN unit_price END AS unit_price, amount, CASE WHEN document_id % 4 = 0 THEN 1.25::DOUBLE END AS tax FROM inv_line_items"""
 _TOTALS = """
     SELECT document_id, count(*) AS n, count(*) FILTER (quantity IS NOT NULL AND unit_price IS NOT NULL) AS priced,
            coalesce(CAST(sum(CAST(amount AS DECIMAL(28,4))) AS DOUBLE), 0) AS amounts,
@@ -130,6 +137,8 @@ _SQL = {
     4: _head("R4", "due_date", "critical", "d2 < d1"),
     5: _head("R5", "issue_date", "warning", f"d1 > DATE '{AS_OF}'"),
     6: _head("R6", "line_items", "critical", "n > 0 AND abs(amounts - subtotal) > 0.02"),
+    7: "SELECT document_id, 'R7' AS code, 'line_items' AS field, 'critical' AS severity, 'rule' AS source FROM items"
+       " WHERE document_id % 9 = 0 GROUP BY document_id",
     8: _head("R8", "total_amount", "CASE WHEN priced = 0 THEN 'critical' ELSE 'warning' END",
              f"n > 0 AND {_BARE} AND total_amount IS NULL"),
     10: _row("R10", "critical", "amount IS NULL"),
@@ -143,6 +152,16 @@ _SQL = {
     17: " UNION ALL ".join(_head("R17", f, "critical", f"{f} < 0") for f in ("subtotal", "tax", "shipping", "total_amount")),
 }
 _ALL = " UNION ALL ".join(_SQL.values())
+_ALL_LISTED = _ALL + " UNION ALL " + _head("R9", "line_items", "critical", "n > 0 AND id % 7 = 0")
+_MESSAGES = """
+    SELECT 'R7' AS code, document_id, 'quantity and price stand in the description of items '
+           || array_to_string(list_sort(list(position))[:5], ', ')
+           || CASE WHEN count(*) > 5 THEN ' and ' || (count(*) - 5) || ' more' ELSE '' END
+           || ' (such as ''' || left(arg_min(description, position), 60) || ''')' AS message
+    FROM items GROUP BY document_id
+    UNION ALL
+    SELECT 'R9', document_id, n || ' items read, the source goes on to number ' || (n + 2) || ': 2 rows (' || (n + 1) || '-'
+           || (n + 2) || ') are missing' FROM totals"""
 
 
 def _with(body, heads_of="inv_documents", **extra):
@@ -219,7 +238,7 @@ _VERDICT = """
     FROM {docs} LEFT JOIN (SELECT document_id, count(*) AS k, count(*) FILTER (severity = 'critical') AS cr
                            FROM issues GROUP BY 1) ON document_id = id"""
 
-ORACLES = {f"r{n}_rule": _with(q) for n, q in _SQL.items()}
+ORACLES = {f"r{n}_rule": _with(q) for n, q in _SQL.items() if n != 7}
 ORACLES |= {
     "r7_collapsed_columns": sql(
         """SELECT document_id, 'R7' AS code, 'line_items' AS field, 'critical' AS severity, 'rule' AS source,
@@ -231,24 +250,25 @@ ORACLES |= {
         "inv_items_exact"),
     "r9_truncated_items": sql(
         """SELECT document_id, 'R9' AS code, 'line_items' AS field, 'critical' AS severity, 'rule' AS source,
-                  '3 items read, the source goes on to number ' || max(position) || ': ' || (max(position) - 3) || ' rows (4-'
-                  || max(position) || ') are missing' AS message
-           FROM inv_items_exact WHERE document_id % 5 <> 0 GROUP BY document_id HAVING max(position) > 3
-           UNION ALL
-           SELECT document_id, 'R9', 'line_items', 'critical', 'rule', '1 items read, the source goes on to number 2: 1 rows (2-2) are missing'
-           FROM inv_items_exact WHERE document_id % 5 = 0 GROUP BY document_id HAVING max(position) = 2""",
+                  n || ' items read, the source goes on to number ' || last || ': ' || (last - n) || ' rows (' || (n + 1) || '-'
+                  || last || ') are missing' AS message
+           FROM (SELECT document_id, max(position) + CASE WHEN document_id % 11 = 0 THEN 300 ELSE 0 END AS last, max(position) AS k,
+                        CASE WHEN document_id % 5 = 0 THEN 1 ELSE least(3, max(position)) END AS n
+                 FROM inv_items_exact GROUP BY document_id)
+           WHERE last > n AND (document_id % 5 <> 0 OR k <= 2)""",
         "inv_items_exact"),
-    "r18_rule_check": _with(_ALL),
+    "r18_rule_check": _with(
+        f"SELECT a.*, message FROM ({_ALL_LISTED}) a LEFT JOIN ({_MESSAGES}) m ON m.code = a.code AND m.document_id = a.document_id"),
     "v1_dedupe_issues": sql(
         """SELECT document_id, 1 AS stage, min(id) AS "row", field, severity FROM inv_errors
            GROUP BY document_id, field, severity""", "inv_errors"),
     "v2_validate": _with(_ISSUES_GD, heads_of="docs", **_GD),
     "v2_verdicts": _with(_VERDICT.format(docs="docs").replace("FROM issues", f"FROM ({_ISSUES_GD})"), heads_of="docs", **_GD),
-    "v3_revalidate": _with(f"SELECT code, severity, count(*) AS n FROM ({_ALL}) GROUP BY ALL"),
-    "v4_assign_status": _with(_VERDICT.format(docs="inv_documents").replace("FROM issues", f"FROM ({_ALL})")),
+    "v3_revalidate": _with(f"SELECT code, severity, count(*) AS n FROM ({_ALL_LISTED}) GROUP BY ALL"),
+    "v4_assign_status": _with(_VERDICT.format(docs="inv_documents").replace("FROM issues", f"FROM ({_ALL_LISTED})")),
     "v4_status_summary": _with(
         "SELECT status, is_valid, count(*) AS n, sum(error_count) AS errors, sum(critical_count) AS criticals FROM ("
-        + _VERDICT.format(docs="inv_documents").replace("FROM issues", f"FROM ({_ALL})") + ") GROUP BY status, is_valid"),
+        + _VERDICT.format(docs="inv_documents").replace("FROM issues", f"FROM ({_ALL_LISTED})") + ") GROUP BY status, is_valid"),
     "g1_appears_in": sql(
         """SELECT id, coalesce(max(found) FILTER (field = 'invoice_number'), false) AS invoice_number,
                   coalesce(max(found) FILTER (field = 'due_date'), false) AS due_date,

@@ -6,15 +6,11 @@ Every adapter here has the same definition in SQL in `catalog/adapters.py`.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions.dates import parse_date
 from .functions.text import exact_sum
-from .operators.ranking import number_rows
-
-# a rendered document holds at most this many rows; a longer order becomes several documents
-ROWS_PER_DOCUMENT = 200
-PART_STEP = 1_000_000_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
@@ -31,8 +27,9 @@ def billed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cast(l_quantity as bigint) as q",
         "cast(round(l_extendedprice * 100) as bigint) div cast(l_quantity as bigint) as unit_cents",
     )
-    order = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")]
-    numbered = number_rows(rows, ["l_orderkey"], order, "rn")
+    # the lines of one order, a key of these tables, are few
+    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
+    numbered = rows.withColumn("rn", F.row_number().over(order).cast("long"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     return numbered.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
 
@@ -51,10 +48,10 @@ def inv_line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inv_items_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows whose arithmetic holds; long orders are cut into several documents."""
+    """Rows whose arithmetic holds."""
     return billed_lines(spark, sf_dir).selectExpr(
-        f"l_orderkey + ((rn - 1) div {ROWS_PER_DOCUMENT}) * {PART_STEP} as document_id",
-        f"cast((rn - 1) % {ROWS_PER_DOCUMENT} + 1 as int) as position",
+        "l_orderkey as document_id",
+        "cast(rn as int) as position",
         "p_name as description",
         "cast(q as double) as quantity",
         "unit_cents / 100.0D as unit_price",
@@ -224,12 +221,30 @@ def layout_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rule_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """inv_line_items with more holes, some negative quantities and row taxes."""
+    """inv_line_items with more holes, some negative quantities and row taxes; every ninth document
+    has lost its quantity and price columns into the description."""
     return inv_line_items(spark, sf_dir).selectExpr(
-        "id", "document_id", "position", "cast(position as bigint) as ord", "description",
-        "case when unit_price is null and document_id % 2 = 0 then null when position % 7 = 0 then -quantity"
-        " else quantity end as quantity",
-        "unit_price", "amount", "case when document_id % 4 = 0 then 1.25D end as tax",
+        "id", "document_id", "position", "cast(position as bigint) as ord",
+        "if(document_id % 9 = 0, concat(description, ' 5 pcs. € 2'), description) as description",
+        "case when document_id % 9 = 0 or unit_price is null and document_id % 2 = 0 then null"
+        " when position % 7 = 0 then -quantity else quantity end as quantity",
+        "if(document_id % 9 = 0, null, unit_price) as unit_price", "amount",
+        "case when document_id % 4 = 0 then 1.25D end as tax",
+    )
+
+
+def listed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose text lists their item numbers; every seventh goes on for two more rows."""
+    counts = inv_line_items(spark, sf_dir).groupBy("document_id").agg(F.count("*").alias("k"))
+    text = (
+        "array_join(transform(sequence(1, cast(k as int) + if(document_id % 7 = 0, 2, 0)),"
+        " i -> concat('| ', i, '. | row |')), '\n') as listed"
+    )
+    return (
+        inv_documents(spark, sf_dir)
+        .join(counts.selectExpr("document_id", text), F.col("id") == F.col("document_id"), "left")
+        .withColumn("markdown", F.col("listed"))
+        .drop("document_id", "listed")
     )
 
 

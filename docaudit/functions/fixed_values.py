@@ -123,7 +123,6 @@ QUANTITY_TEXT = (
     r"(?:pcs\b\.?|pc\b\.?|pieces?\b|units?\b|ea\b\.?|개)"
 )
 NUMBERED_LINE = r"^[ \t]*\|?[ \t]*([1-9]\d*)\.(?=[ \t|]|$)"
-MAX_MISSING_NUMBERS = 200
 
 # --- layout ---
 ANCHOR = r"^\s*(\d{1,3})\.(?=\s|$)"

@@ -6,89 +6,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import let
+from ..session import settled
 
-HOT_ROWS = 1_000_000
-CHUNKS = 256
-STRIDE = 16
 
-
-def _cuts_below(key: Column) -> Column:
-    """How many cut points lie below `key`: first among every 16th, then among 16."""
-
-    def fine(c):
-        near = F.slice("__cuts", c * STRIDE + 1, F.lit(STRIDE))
-        return c * STRIDE + F.size(F.filter(near, lambda x: x < key))
-
-    return let(F.size(F.filter("__coarse", lambda x: x < key)), fine)
-
-
-def number_rows(
-    df: DataFrame,
-    keys: list[str],
-    order: list[Column],
-    out: str,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def number_rows(df: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:
     """Number the rows 1..n per key, ascending by `order` (a total order).
 
-    Ordinary keys take one window. A key with more than `hot_rows` rows (and more than
-    one ten-thousandth of the table, so that at most 10,000 keys qualify) is cut into
-    ranges of its sort key; rows are numbered inside each range and shifted by the
-    sizes of the ranges before. The cut points come from a hash sample, so they are
-    the same whenever a lost task is run again. What is broadcast, cut points and
-    range sizes, is bounded by that count of keys, whatever the table's size.
+    The rows are dealt by ranges of (keys, order) into as many partitions as the shuffle
+    settings say and written with their place there. A row's number is its place among the
+    rows of its key in its partition, and the key's rows in the partitions before. Only a key
+    that goes on from one partition to the next has such rows, so that the shifts are fewer
+    than the partitions. Every size and every share of a key takes this one path; the input
+    is read twice, to sample the ranges and to deal.
     """
     sort_cols = [f"__s{i}" for i in range(len(order))]
-    key_cols = [f"__k{i}" for i in range(len(keys))] or ["__k0"]
-    key_values = [F.col(k) for k in keys] or [F.lit(0)]
+    key_cols = [f"__k{i}" for i in range(len(keys))]
     base = df.select(
         "*",
-        *[v.alias(k) for v, k in zip(key_values, key_cols)],
+        *[F.col(k).alias(n) for k, n in zip(keys, key_cols)],
         *[c.alias(s) for c, s in zip(order, sort_cols)],
     )
-    sort_key = F.struct(*sort_cols)
-
-    counts = base.groupBy(*key_cols).agg(F.count("*").alias("__n"))
-    share = counts.agg((F.sum("__n") / 10_000).alias("x")).scalar()
-    hot = counts.filter((F.col("__n") > hot_rows) & (F.col("__n") > share))
-    every = F.greatest(F.ceil(F.col("__n") / F.least(F.lit(CHUNKS), F.ceil(F.col("__n") / hot_rows) * 2)), F.lit(1))
-    hot = hot.select(*[F.col(k).alias(f"h{k}") for k in key_cols], every.alias("__every"))
-
-    def on(other, prefix):
-        match = F.lit(True)
-        for k in key_cols:
-            match = match & base[k].eqNullSafe(other[f"{prefix}{k}"])
-        return match
-
-    cuts = (
-        base.join(F.broadcast(hot), on(hot, "h"))
-        .filter(F.pmod(F.xxhash64(*sort_cols), F.col("__every")) == 0)
-        .groupBy(*[F.col(k).alias(f"c{k}") for k in key_cols])
-        .agg(F.array_sort(F.collect_set(sort_key)).alias("__cuts"))
-        .withColumn("__coarse", F.filter("__cuts", lambda x, i: i % STRIDE == STRIDE - 1))
-    )
-    marked = base.join(F.broadcast(cuts), on(cuts, "c"), "left").withColumn(
-        "__chunk",
-        F.when(F.col("__cuts").isNull(), 0).otherwise(let(sort_key, _cuts_below)),
-    )
-    sizes = (
-        marked.filter(F.col("__cuts").isNotNull())
-        .groupBy(*key_cols, "__chunk")
-        .agg(F.count("*").alias("__m"))
-    )
-    before = W.partitionBy(*key_cols).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
-    shifts = sizes.select(
-        *[F.col(k).alias(f"b{k}") for k in key_cols],
-        F.col("__chunk").alias("b__chunk"),
-        F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__shift"),
-    )
-    numbered = marked.withColumn(
-        "__rn", F.row_number().over(W.partitionBy(*key_cols, "__chunk").orderBy(*sort_cols))
+    by = [*key_cols, *sort_cols]
+    dealt = base.repartitionByRange(*by).sortWithinPartitions(*by)
+    place = F.monotonically_increasing_id()
+    rows = settled(dealt.select(*df.columns, *key_cols, place.alias("__at")), "numbered")
+    rows = rows.withColumn("__part", F.shiftright("__at", 33))
+
+    sizes = rows.groupBy(*key_cols, "__part").agg(F.count("*").alias("__m"))
+    before = W.partitionBy(*key_cols).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    shifts = sizes.withColumn("__shift", F.sum("__m").over(before)).filter("__shift is not null")
+    shifts = settled(
+        shifts.select(*[F.col(k).alias(f"b{k}") for k in key_cols], F.col("__part").alias("b__part"), "__shift"), "shifts"
     )
-    match = F.col("__chunk") == F.col("b__chunk")
+    match = F.col("__part") == F.col("b__part")
     for k in key_cols:
         match = match & F.col(k).eqNullSafe(F.col(f"b{k}"))
-    return numbered.join(F.broadcast(shifts), match, "left").select(
-        *df.columns, (F.col("__rn") + F.coalesce("__shift", F.lit(0))).cast("long").alias(out)
+    if keys:
+        own = F.row_number().over(W.partitionBy("__part", *key_cols).orderBy("__at"))
+    else:
+        own = F.col("__at") - F.shiftleft("__part", 33) + 1
+    return rows.withColumn("__own", own).join(shifts, match, "left").select(
+        *df.columns, (F.col("__own") + F.coalesce("__shift", F.lit(0))).cast("long").alias(out)
     )

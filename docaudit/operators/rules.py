@@ -10,6 +10,7 @@ whole document (R7, R12) are joined with it.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
@@ -19,7 +20,6 @@ from ..functions.text import exact_sum, money
 from ..schemas import HEADER_FIELDS
 from .grounding import grounding_check
 from .issues import dedupe_issues, issue, issue_rows
-from .ranking import number_rows
 
 c = F.col
 TOL = V.AMOUNT_TOLERANCE
@@ -181,7 +181,7 @@ def collapsed_columns(items: DataFrame, totals: DataFrame) -> DataFrame:
     )
     count = rows.groupBy("document_id").agg(F.count("*").alias("k"), F.min(F.struct("ord", "description")).alias("s"))
     first = (
-        number_rows(rows, ["document_id"], [c("ord")], "rn").filter("rn <= 5")
+        rows.withColumn("rn", F.row_number().over(W.partitionBy("document_id").orderBy("ord"))).filter("rn <= 5")
         .groupBy("document_id")
         .agg(F.array_sort(F.collect_list(F.struct("rn", "number"))).alias("five"))
     )
@@ -209,11 +209,12 @@ def truncated_items(docs: DataFrame, items: DataFrame, totals: DataFrame) -> Dat
         (c("numbered") == c("n")) & (c("low") == 1) & (c("high") == c("n"))
         & (c("pos_sum") * 2 == n * (n + 1)) & (c("pos_squares") * 6 == n * (n + 1) * (2 * n + 1))
     ).select("document_id", "n")
-    last = F.lit(V.MAX_MISSING_NUMBERS)
-    absent = F.array_min(F.array_except(F.sequence(c("n") + 1, c("n") + last), c("numbers")))
+    beyond = F.array_sort(F.filter("numbers", lambda x: x > c("n")))
+    # numbers are distinct, so those that stand where a gapless run has them come first
+    run = F.size(F.filter(beyond, lambda x, i: x == c("n") + 1 + i))
     going_on = (
         numbers.join(complete, "document_id")
-        .withColumn("missing", F.coalesce(absent - c("n") - 1, last.cast("long")))
+        .withColumn("missing", run.cast("long"))
         .filter("missing > 0")
         .drop("numbers")
     )
@@ -261,8 +262,8 @@ def one_rule(code: str, docs: DataFrame, items: DataFrame, as_of: str = "9999-12
     return issue_rows(heads, header_rules(as_of)[code])
 
 
-def rule_check(docs: DataFrame, items: DataFrame, as_of: str, with_text: bool = True) -> DataFrame:
-    """All rules (R18). R9 needs `markdown` in `docs` and is left out without it."""
+def rule_check(docs: DataFrame, items: DataFrame, as_of: str) -> DataFrame:
+    """All rules."""
     totals = item_totals(items)
     header = [i for group in header_rules(as_of).values() for i in group]
     parts = [
@@ -270,9 +271,8 @@ def rule_check(docs: DataFrame, items: DataFrame, as_of: str, with_text: bool =
         issue_rows(items, list(row_rules().values())),
         collapsed_columns(items, totals),
         unpriced_rows(items, totals),
+        truncated_items(docs, items, totals),
     ]
-    if with_text:
-        parts.append(truncated_items(docs, items, totals))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -306,6 +306,6 @@ def validate(docs: DataFrame, items: DataFrame, as_of: str, extra: DataFrame | N
     return dedupe_issues(issues)
 
 
-def revalidate(docs: DataFrame, items: DataFrame, as_of: str, with_text: bool = True) -> DataFrame:
+def revalidate(docs: DataFrame, items: DataFrame, as_of: str) -> DataFrame:
     """Rules only, repeats kept (V3)."""
-    return rule_check(docs, items, as_of, with_text)
+    return rule_check(docs, items, as_of)
