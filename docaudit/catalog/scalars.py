@@ -162,7 +162,10 @@ QUERIES = {
         "o_orderkey", F.array_join(dates.date_variants(c("t")), "|").alias("v")),
     "s7_number_variants": lambda s, d: fx.table(s, d, "lineitem").select(
         *_KEYS.split(", "), F.array_join(F.array_sort(dates.number_variants(
-            F.when(c("l_partkey") % 3 == 0, F.floor(c("l_extendedprice")).cast("double")).otherwise(c("l_extendedprice")))), "|").alias("v")),
+            F.when(c("l_partkey") % 3 == 0, F.floor(c("l_extendedprice")).cast("double"))
+            .when(c("l_partkey") % 3 == 1, c("l_extendedprice") * 1e9 + F.element_at(
+                F.array(F.lit(0.125), F.lit(0.005), F.lit(0.375)), (c("l_suppkey") % 3 + 1).cast("int")))
+            .otherwise(c("l_extendedprice")))), "|").alias("v")),
     "s8_flatten_markup": lambda s, d: fx.table(s, d, "documents").select("doc_id", F.md5(markup.flatten_markup(c("text"))).alias("v")),
     "s9_head_tail_excerpt": lambda s, d: fx.table(s, d, "documents").select(
         "doc_id", F.md5(text.head_tail_excerpt(c("text"), 500)).alias("v")),
@@ -204,7 +207,9 @@ ORACLES = {
                      CASE WHEN w THEN CAST(CAST(x AS BIGINT) AS VARCHAR) END,
                      CASE WHEN w THEN format('{{:,}}', CAST(x AS BIGINT)) END,
                      CASE WHEN w THEN CAST(x AS BIGINT) || '.00' END], lambda s: s IS NOT NULL) AS f
-              FROM (SELECT *, x = floor(x) AS w FROM (SELECT *, CASE WHEN l_partkey % 3 = 0 THEN floor(l_extendedprice) ELSE l_extendedprice END AS x FROM lineitem)))""",
+              FROM (SELECT *, x = floor(x) AS w FROM (SELECT *, CASE WHEN l_partkey % 3 = 0 THEN floor(l_extendedprice)
+                    WHEN l_partkey % 3 = 1 THEN l_extendedprice * 1e9::DOUBLE + [0.125, 0.005, 0.375][l_suppkey % 3 + 1]::DOUBLE
+                    ELSE l_extendedprice END AS x FROM lineitem)))""",
     "s8_flatten_markup": f"""SELECT doc_id, md5(lower(trim(regexp_replace(regexp_replace(text, '[|#*`_]+', ' ', 'g'),
                               '{_SPACES}+', ' ', 'g')))) AS v FROM documents""",
     "s9_head_tail_excerpt": """SELECT doc_id, md5(CASE WHEN length(text) <= 500 THEN text ELSE

@@ -85,25 +85,56 @@ def _rounded_units(x: Column, digits: Column) -> Column:
     return let(t * F.pow(F.lit(10.0), digits).cast("decimal(10,0)"), settle)
 
 
-def _ordinary(c: Column) -> Column:
-    """Range in which the exact rounding applies; beyond it the platform's is used."""
-    return (F.abs(c) >= 1e-4) & (F.abs(c) < 1e10)
+def _whole_digits(a: Column) -> Column:
+    """The digits of the whole part of a positive double, exactly, up to 2^115."""
+    step = float(2**53)
+    high = F.floor(a / step)
+    wide = high.cast("decimal(19,0)") * F.lit(2**53).cast("decimal(16,0)") + F.floor(a - high * step).cast("decimal(16,0)")
+    return (
+        F.when(a < float(2**62), F.floor(a).cast("string"))
+        .when(a < float(2**115), wide.cast("string"))
+        .otherwise(F.format_string("%.0f", a))
+    )
+
+
+def _cents(a: Column) -> Column:
+    """Whole cents of a positive double below 2^53, rounding its exact binary value half to even.
+
+    The fraction is a count of 2^-52, and what a number below 1 has beyond.
+    """
+    scale = float(2**52)
+
+    def count(x):
+        return let(F.floor(x["f"] * scale), lambda m: settle(x["w"], m, x["f"] * scale - m))
+
+    def settle(whole, m, beyond):
+        total = m * 100 + F.floor(beyond * 100)
+        cents, left = F.shiftright(total, 52), total.bitwiseAND(F.lit(2**52 - 1))
+        tie = (left == 2**51) & ((beyond * 100 > F.floor(beyond * 100)) | (cents % 2 == 1))
+        return whole * 100 + cents + F.when((left > 2**51) | tie, 1).otherwise(0)
+
+    return let(F.struct(F.floor(a).alias("w"), (a - F.floor(a)).alias("f")), count)
 
 
 def round_cents(c: Column) -> Column:
-    """Round to two decimals as Python does, as decimal(26,2)."""
-    cents = _rounded_units(F.abs(c), F.lit(2)) * F.lit("0.01").cast("decimal(2,2)")
-    exact = (F.signum(c).cast("decimal(1,0)") * cents).cast("decimal(26,2)")
-    return F.when(_ordinary(c), exact).otherwise(c.try_cast("decimal(26,2)"))
+    """A double rounded to two decimals as Python does, as text such as -12.50.
+
+    One exact path for every finite double up to 2^115; from 2^53 on doubles are whole.
+    """
+    a = F.abs(c)
+    sign = F.when(c < 0, "-").otherwise("")
+    small = let(
+        _cents(a),
+        lambda n: F.when(n == 0, F.lit("0.00")).otherwise(
+            F.concat(sign, F.regexp_replace(F.lpad(n.cast("string"), F.greatest(F.lit(3), F.length(n.cast("string"))), "0"), r"(..)$", ".$1"))
+        ),
+    )
+    return F.when(a < float(2**53), small).otherwise(F.concat(sign, _whole_digits(a), F.lit(".00")))
 
 
 def _two_decimals(c: Column) -> Column:
     cents = c.try_cast("decimal(18,2)")
-    return (
-        F.when(cents.cast("double") == c, cents.cast("string"))
-        .when(_ordinary(c), round_cents(c).cast("string"))
-        .otherwise(F.format_string("%.2f", c))
-    )
+    return F.when(cents.cast("double") == c, cents.cast("string")).otherwise(round_cents(c))
 
 
 def _group_thousands(s: Column) -> Column:
@@ -116,6 +147,23 @@ def _exponential(a: Column) -> Column:
     return F.concat(mantissa, F.regexp_extract(sci, r"(e[-+]\d+)$", 1))
 
 
+def _millions(a: Column) -> Column:
+    """%g of a double from a million on: six digits of the exact whole part, half to even."""
+
+    def cut(w):
+        head, tail = F.substr(w, F.lit(1), F.lit(6)), F.substr(w, F.lit(7))
+        half = F.rpad(F.lit("5"), F.length(w) - 6, "0")
+        tie = (tail == half) & ((a > F.floor(a)) | (head.cast("int") % 2 == 1))
+        rounded = head.cast("int") + F.when((tail > half) | tie, 1).otherwise(0)
+        grown = rounded == 1_000_000
+        digits = F.when(grown, "1").otherwise(F.regexp_replace(rounded.cast("string"), "0+$", ""))
+        power = F.length(w) - 1 + F.when(grown, 1).otherwise(0)
+        point = F.when(F.length(digits) > 1, F.concat(F.left(digits, F.lit(1)), F.lit("."), F.substr(digits, F.lit(2)))).otherwise(digits)
+        return F.concat(point, F.lit("e+"), F.lpad(power.cast("string"), F.greatest(F.lit(2), F.length(power.cast("string"))), "0"))
+
+    return let(_whole_digits(a), cut)
+
+
 def _six_digits(c: Column) -> Column:
     """The shortest form with six significant digits (C-style %g)."""
     a = F.abs(c)
@@ -125,14 +173,11 @@ def _six_digits(c: Column) -> Column:
         places = places.when(a < 10**n, 6 - n)
     unit = F.pow(F.lit(10.0), places).cast("decimal(10,0)")
     value = (_rounded_units(a, places).cast("decimal(10,0)") / unit).cast("decimal(20,10)")
-    # from a million on: whole amounts, rounded half to even at the sixth digit
-    step = F.when(a < 1e7, 10).when(a < 1e8, 100).when(a < 1e9, 1000).otherwise(10_000)
-    million = F.bround((a.try_cast("decimal(26,6)") / step).cast("decimal(26,6)"), 0).cast("double") * step
     sign = F.when(c < 0, "-").otherwise("")
     return (
         F.when(c == 0, "0")
-        .when(~_ordinary(c), F.concat(sign, _exponential(a)))
-        .when(a >= 1e6, F.concat(sign, _exponential(million)))
+        .when(a < 1e-4, F.concat(sign, _exponential(a)))
+        .when(a >= 1e6, F.concat(sign, _millions(a)))
         .otherwise(
             let(
                 value,

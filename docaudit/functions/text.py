@@ -136,11 +136,16 @@ def money(c: Column) -> Column:
 def exact_sum(c: Column) -> Column:
     """Order-independent sum of a double column.
 
-    Summed as decimals so that partition order cannot change the last digits; a group
-    holding a value too large for that falls back to the double sum.
+    Every value is parted, without loss, into a multiple of 2^50 and the rest; both parts
+    are summed as decimals, so that partition order cannot change a digit. The rest keeps
+    ten decimals. A value beyond 1e53, and NaN, end the run with an error.
     """
-    dec = c.try_cast("decimal(28,4)")
-    return F.when(F.count(c) == F.count(dec), F.try_sum(dec).cast("double")).otherwise(F.sum(c))
+    unit = float(2**50)
+    cut = F.when(c < 0, F.ceil(c / unit)).otherwise(F.floor(c / unit)).cast("decimal(38,0)")
+    # from 2^103 on every double is a multiple of the unit
+    units = F.when(F.abs(c) < float(2**103), cut).otherwise((c / unit).cast("decimal(38,0)"))
+    rest = (c - units.cast("double") * unit).cast("decimal(28,10)")
+    return F.sum(units).cast("double") * unit + F.sum(rest).cast("double")
 
 
 def close_to(a: Column, b: Column) -> Column:

@@ -31,10 +31,12 @@ def test_dates(spark):
 def test_number_spellings_round_like_c(spark):
     random.seed(7)
     xs = [2.675, 0.125, 999999.5, 95611.45, 1234565.0, 0.005, -5.25, 0.0, 1e9 + 0.5]
+    xs += [12345678901.125, 10000000000.005, 123456500000.0, 1e15 + 0.125, 2.0**53 + 2, 1e22, -9999995.0, 4503599627370495.5]
     xs += [round(random.uniform(0, 10 ** random.randint(0, 7)), random.randint(0, 4)) for _ in range(300)]
     for x, got in zip(xs, values(spark, xs, dates.number_variants, "double")):
         assert f"{x:.2f}" in got and f"{x:,.2f}" in got and f"{x:g}" in got
     assert [float(x) for x in values(spark, xs, dates.round_cents, "double")] == [round(x, 2) for x in xs]
+    assert None not in values(spark, [1e25, 1e300, -1e30, 5e-324], dates.round_cents, "double")
 
 
 @pytest.mark.parametrize("t", ["a &amp; b", "&#128; &#x41; &notit; &nosuch; x & y &lt", "&copyx &Aacute;z &#xD800; &#1; &#99999999999;",
