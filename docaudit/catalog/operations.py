@@ -57,12 +57,8 @@ def edit_items(spark, sf):
         "quantity", "unit_price", "amount", "cast(null as double) as tax")
 
 
-def _recheck(s, d):
-    return lc.recheck(D(s, d), I(s, d), E(s, d), edits(s, d), edit_items(s, d), AS_OF, NOW)
-
-
-def _approve(s, d):
-    return lc.approve(D(s, d), I(s, d), E(s, d), edits(s, d), edit_items(s, d), AS_OF, NOW)
+def _checked(s, d):
+    return lc.checked_edits(D(s, d), edits(s, d), edit_items(s, d), AS_OF, NOW)[1]
 
 
 def _results(s, d):
@@ -76,7 +72,11 @@ def _results(s, d):
         c("id").alias("document_id"), F.lit(1).alias("stage"), F.lit(1).alias("rule"), F.lit(0).cast("long").alias("row"),
         F.lit("X").alias("code"), F.lit("document").alias("field"), F.lit("note").alias("message"),
         F.lit("warning").alias("severity"), F.lit("rule").alias("source"))
-    return lc.finalize(D(s, d), I(s, d), E(s, d), results, items, issues, NOW)
+    return results, items, issues
+
+
+def _processed_keys(results):
+    return results.select(c("id").alias("document_id"))
 
 
 _DOC = ["id", "status", "is_valid", "reviewer_note", "updated_at", "validated_at", "total_amount", "vendor_name"]
@@ -253,9 +253,12 @@ QUERIES = {
     "c1_reserve": lambda s, d: lc.reserve(stored_uploads(s, d), incoming(s, d), NOW)[1].select("arrival", "document_id", "status", "skipped"),
     "c1_reserved_rows": lambda s, d: lc.reserve(stored_uploads(s, d), incoming(s, d), NOW)[0].select("id", "file_hash", "status", "stored_path"),
     "c1_reserve_all": lambda s, d: lc.reserve(stored_uploads(s, d), incoming(s, d), NOW, False)[1].select("arrival", "document_id", "skipped"),
-    "c2_finalized_documents": lambda s, d: _results(s, d)[0].select("id", "status", "is_valid", "markdown", "model", "updated_at", "failure_reason"),
-    "c2_finalized_items": lambda s, d: _results(s, d)[1].select(*_ITEM),
-    "c2_finalized_errors": lambda s, d: _results(s, d)[2].select("document_id", "field", "severity", "resolved"),
+    "c2_finalized_documents": lambda s, d: lc.finalized_documents(D(s, d), _results(s, d)[0], NOW).select(
+        "id", "status", "is_valid", "markdown", "model", "updated_at", "failure_reason"),
+    "c2_finalized_items": lambda s, d: lc.replace_items(
+        I(s, d), _processed_keys(_results(s, d)[0]), _results(s, d)[1]).select(*_ITEM),
+    "c2_finalized_errors": lambda s, d: lc.replace_errors(
+        E(s, d), _processed_keys(_results(s, d)[0]), _results(s, d)[2], NOW).select("document_id", "field", "severity", "resolved"),
     "c3_fail": lambda s, d: lc.fail(D(s, d), E(s, d), _ids(s, d, "id % 6 = 0").withColumn("reason", F.lit("broken")), NOW)[0].select(
         "id", "status", "is_valid", "failure_reason", "updated_at"),
     "c4_cleanup_stale": lambda s, d: lc.cleanup_stale(
@@ -264,16 +267,17 @@ QUERIES = {
     "c5_assign_positions": lambda s, d: lc.assign_positions(I(s, d).selectExpr(
         "document_id", "cast(position as bigint) as ord", "if(document_id % 3 = 0 and position = 2, null, position * 10) as position")).select(
         "document_id", "ord", "position"),
-    "c6_updated_documents": lambda s, d: lc.update_fields(D(s, d), I(s, d), edits(s, d), edit_items(s, d), NOW)[0].select(*_DOC),
-    "c6_updated_items": lambda s, d: lc.update_fields(D(s, d), I(s, d), edits(s, d), edit_items(s, d), NOW)[1].select(*_ITEM),
+    "c6_updated_documents": lambda s, d: lc.updated_documents(D(s, d), edits(s, d), NOW).select(*_DOC),
+    "c6_updated_items": lambda s, d: lc.replace_items(
+        I(s, d), edits(s, d).select("document_id"), edit_items(s, d)).select(*_ITEM),
     "c7_replace_errors": lambda s, d: lc.replace_errors(
         E(s, d), _ids(s, d, "id % 2 = 0").select(c("id").alias("document_id")),
         E(s, d).filter("document_id % 2 = 0 and id % 5 = 0").selectExpr(
             "document_id", "0 as stage", "0 as rule", "id as row", "'E' as code", "field", "message", "severity", "source"), NOW).select(
         "document_id", "field", "message", "severity", "resolved", "created_at"),
-    "c8_recheck": lambda s, d: _recheck(s, d)[3],
-    "c9_approve": lambda s, d: _approve(s, d)[0].select(*_DOC),
-    "c9_rejected": lambda s, d: _approve(s, d)[3],
+    "c8_recheck": _checked,
+    "c9_approve": lambda s, d: lc.approved_documents(D(s, d), edits(s, d), _checked(s, d), NOW).select(*_DOC),
+    "c9_rejected": lambda s, d: lc.approval(_checked(s, d), edits(s, d))[1],
     "c10_bulk_approve": lambda s, d: lc.bulk_approve(D(s, d), E(s, d), _ids(s, d, "id % 3 = 0"), NOW)[0].select("id", "status", "is_valid", "validated_at"),
     "c10_bulk_errors": lambda s, d: lc.bulk_approve(D(s, d), E(s, d), _ids(s, d, "id % 3 = 0"), NOW)[1].select("id", "document_id", "resolved"),
     "c10_bulk_skipped": lambda s, d: lc.bulk_approve(D(s, d), E(s, d), _ids(s, d, "id % 3 = 0"), NOW)[2],

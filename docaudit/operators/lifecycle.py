@@ -23,12 +23,9 @@ c = F.col
 
 
 def assign_ids(rows: DataFrame, existing: DataFrame, order: list[Column]) -> DataFrame:
-    """`id` = highest existing id + place in `order`.
-
-    The rows are settled first: numbering reads them several times.
-    """
+    """`id` = highest existing id + place in `order`."""
     highest = existing.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    numbered = number_rows(settled(rows, "unnumbered"), [], order, "__no")
+    numbered = number_rows(rows, [], order, "__no")
     return numbered.withColumn("id", (highest + c("__no")).cast("long")).drop("__no")
 
 
@@ -39,7 +36,8 @@ def reserve(docs: DataFrame, incoming: DataFrame, now: str, skip_duplicates: boo
 
     Returns the new PROCESSING rows and an outcome per upload. With `skip_duplicates` a
     hash held by a document that has not failed points to the newest such document, and
-    the first arrival of a new hash wins within the batch.
+    the first arrival of a new hash wins within the batch. Uploads without a hash are like no
+    other and are all admitted.
     """
     if not skip_duplicates:
         fresh = assign_ids(incoming, docs, [c("arrival")])
@@ -54,18 +52,21 @@ def reserve(docs: DataFrame, incoming: DataFrame, now: str, skip_duplicates: boo
         .select("file_hash", "d.id", "d.status")
     )
     rest = [x for x in incoming.columns if x not in ("arrival", "file_hash")]
+    # what stands for the contents: the hash, or the upload itself where there is none
+    content = F.coalesce(c("file_hash"), F.concat(F.lit("\x00"), c("arrival").cast("string")))
+    known = incoming.withColumn("__content", content)
     first = (
-        incoming.groupBy("file_hash").agg(F.min(F.struct("arrival", *rest)).alias("f"))
-        .select("file_hash", "f.*")
-        .join(held.select("file_hash"), "file_hash", "left_anti")
+        known.groupBy("__content").agg(F.min(F.struct("arrival", "file_hash", *rest)).alias("f"))
+        .select("__content", "f.*")
+        .join(held.select(c("file_hash").alias("__content")), "__content", "left_anti")
     )
     fresh = assign_ids(first, docs, [c("arrival")])
-    resolved = held.withColumn("by", F.lit(None).cast("long")).unionByName(
-        fresh.select("file_hash", "id", F.lit(V.PROCESSING).alias("status"), c("arrival").cast("long").alias("by"))
+    resolved = held.withColumnRenamed("file_hash", "__content").withColumn("by", F.lit(None).cast("long")).unionByName(
+        fresh.select("__content", "id", F.lit(V.PROCESSING).alias("status"), c("arrival").cast("long").alias("by"))
     )
     skipped = ~F.coalesce(c("by") == c("arrival"), F.lit(False))
     state = F.when(c("status") == V.PROCESSING, "being processed").otherwise("stored")
-    outcomes = incoming.select("arrival", "filename", "file_hash").join(resolved, "file_hash").select(
+    outcomes = known.select("arrival", "filename", "__content").join(resolved, "__content").select(
         "arrival", "filename", c("id").alias("document_id"), "status", skipped.alias("skipped"),
         F.when(skipped, F.format_string("the same file is already %s as #%d", state, c("id"))).otherwise("").alias("message"),
     )
@@ -114,19 +115,29 @@ def new_error_rows(issues: DataFrame, existing: DataFrame, now: str) -> DataFram
     return assign_ids(rows, existing, order).select(*VALIDATION_ERRORS.fieldNames())
 
 
+def finalized_documents(docs: DataFrame, results: DataFrame, now: str) -> DataFrame:
+    """C2, headers: results (id, status, is_valid, page_count, markdown, docling_json, model, header) stored."""
+    names = ["status", "is_valid", "page_count", "markdown", "docling_json", "model", *HEADER_FIELDS]
+    values = {n: c(f"n_{n}") for n in names if n in results.columns}
+    values |= {"failure_reason": F.lit(None).cast("string"), "updated_at": F.lit(now)}
+    return _overlay(docs, results, values)
+
+
+def replace_items(items: DataFrame, keys: DataFrame, new_items: DataFrame) -> DataFrame:
+    """These items instead of those stored for the documents."""
+    return _replace_children(items, keys, new_item_rows(new_items, items))
+
+
 def finalize(
     docs: DataFrame, items: DataFrame, errors: DataFrame,
     results: DataFrame, new_items: DataFrame, issues: DataFrame, now: str,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Store results (id, status, is_valid, page_count, markdown, docling_json, model, header)."""
-    names = ["status", "is_valid", "page_count", "markdown", "docling_json", "model", *HEADER_FIELDS]
-    values = {n: c(f"n_{n}") for n in names if n in results.columns}
-    values |= {"failure_reason": F.lit(None).cast("string"), "updated_at": F.lit(now)}
+    """Documents, items and errors after processing; numbering writes the new rows."""
     keys = results.select(c("id").alias("document_id"))
     return (
-        _overlay(docs, results, values),
-        _replace_children(items, keys, new_item_rows(new_items, items)),
-        _replace_children(errors, keys, new_error_rows(issues, errors, now)),
+        finalized_documents(docs, results, now),
+        replace_items(items, keys, new_items),
+        replace_errors(errors, keys, issues, now),
     )
 
 
@@ -164,16 +175,18 @@ def cleanup_stale(docs: DataFrame, now: str, minutes: int = V.STALE_MINUTES) ->
 
 # --- C6-C9 --------------------------------------------------------------------------
 
+def updated_documents(docs: DataFrame, edits: DataFrame, now: str) -> DataFrame:
+    """C6, headers: edits (document_id, header columns, note) replace what is stored."""
+    values = {n: c(f"n_{n}") for n in HEADER_FIELDS}
+    values |= {"reviewer_note": c("n_note"), "updated_at": F.lit(now)}
+    return _overlay(docs, edits, values, key="document_id")
+
+
 def update_fields(
     docs: DataFrame, items: DataFrame, edits: DataFrame, edit_items: DataFrame, now: str
 ) -> tuple[DataFrame, DataFrame]:
-    """Edits (document_id, header columns, note) and their items replace what is stored."""
-    values = {n: c(f"n_{n}") for n in HEADER_FIELDS}
-    values |= {"reviewer_note": c("n_note"), "updated_at": F.lit(now)}
-    return (
-        _overlay(docs, edits, values, key="document_id"),
-        _replace_children(items, edits.select("document_id"), new_item_rows(edit_items, items)),
-    )
+    """Edited headers and their items."""
+    return updated_documents(docs, edits, now), replace_items(items, edits.select("document_id"), edit_items)
 
 
 def replace_errors(errors: DataFrame, keys: DataFrame, issues: DataFrame, now: str) -> DataFrame:
@@ -181,6 +194,14 @@ def replace_errors(errors: DataFrame, keys: DataFrame, issues: DataFrame, now: s
     return _replace_children(errors, keys, new_error_rows(issues, errors, now))
 
 
+def checked_edits(docs: DataFrame, edits: DataFrame, edit_items: DataFrame, as_of: str, now: str) -> tuple[DataFrame, DataFrame]:
+    """Issues of the edited documents, and the verdict per document."""
+    keys = edits.select(c("document_id").alias("id")).distinct()
+    edited = updated_documents(docs, edits, now).join(keys, "id", "left_semi")
+    issues = settled(revalidate(edited, edit_items, as_of), "recheck")
+    return issues, verdicts(edited, issues)
+
+
 def recheck(
     docs: DataFrame, items: DataFrame, errors: DataFrame, edits: DataFrame, edit_items: DataFrame, as_of: str, now: str
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -188,12 +209,9 @@ def recheck(
 
     Returns the three tables and the verdict per edited document.
     """
-    keys = edits.select("document_id").distinct()
+    issues, checked = checked_edits(docs, edits, edit_items, as_of, now)
     new_docs, new_items = update_fields(docs, items, edits, edit_items, now)
-    edited = new_docs.join(keys.withColumnRenamed("document_id", "id"), "id", "left_semi")
-    issues = settled(revalidate(edited, edit_items, as_of), "recheck")
-    checked = verdicts(edited, issues)
-    return new_docs, new_items, replace_errors(errors, keys, issues, now), checked
+    return new_docs, new_items, replace_errors(errors, edits.select("document_id").distinct(), issues, now), checked
 
 
 def approve(
@@ -204,23 +222,40 @@ def approve(
     The last result names the rejected documents; their edits are stored nevertheless.
     """
     docs2, items2, errors2, checked = recheck(docs, items, errors, edits, edit_items, as_of, now)
+    approved, rejected = approval(checked, edits)
+    docs3, errors3 = _mark_validated(docs2, errors2, approved, now)
+    return docs3, items2, errors3, rejected
+
+
+def approval(checked: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ids that may be approved, and the documents that may not with their critical counts."""
     verdict = checked.join(edits.select("document_id", "force"), "document_id")
     passed = (c("critical_count") == 0) | F.coalesce(c("force"), F.lit(False))
-    approved = verdict.filter(passed).select(c("document_id").alias("id"))
-    docs3, errors3 = _mark_validated(docs2, errors2, approved, now)
-    return docs3, items2, errors3, verdict.filter(~passed).select("document_id", "critical_count")
+    return (
+        verdict.filter(passed).select(c("document_id").alias("id")),
+        verdict.filter(~passed).select("document_id", "critical_count"),
+    )
 
 
-def _mark_validated(docs: DataFrame, errors: DataFrame, ids: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
+def approved_documents(docs: DataFrame, edits: DataFrame, checked: DataFrame, now: str) -> DataFrame:
+    """C9, headers: the edits stored and what may be approved validated."""
+    return _validated(updated_documents(docs, edits, now), approval(checked, edits)[0], now)
+
+
+def _validated(docs: DataFrame, ids: DataFrame, now: str) -> DataFrame:
     values = {
         "status": F.lit(V.VALIDATED), "is_valid": F.lit(True),
         "validated_at": F.lit(now), "updated_at": F.lit(now),
     }
+    return _overlay(docs, ids.select("id"), values)
+
+
+def _mark_validated(docs: DataFrame, errors: DataFrame, ids: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
     done = ids.select(c("id").alias("document_id")).withColumn("__done", F.lit(True))
     closed = errors.join(done, "document_id", "left").withColumn(
         "resolved", c("resolved") | F.coalesce(c("__done"), F.lit(False))
     )
-    return _overlay(docs, ids.select("id"), values), closed.select(*errors.columns)
+    return _validated(docs, ids, now), closed.select(*errors.columns)
 
 
 def bulk_approve(docs: DataFrame, errors: DataFrame, ids: DataFrame, now: str) -> tuple[DataFrame, DataFrame, DataFrame]:

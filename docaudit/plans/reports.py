@@ -9,6 +9,7 @@ can spread over several sort partitions.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
@@ -172,8 +173,12 @@ def numbered_list(docs: DataFrame, errors: DataFrame, status: str | None = None,
     total = rows.agg(F.count("*")).scalar()
     shown = rows.orderBy(F.desc("id")).limit(limit) if limit else rows
     counts = open_error_counts(errors).select(F.col("document_id").alias("id"), F.col("n").alias("error_count"))
+    if limit:  # few rows are left to number
+        numbered = shown.withColumn("row_no", F.row_number().over(W.orderBy(F.desc("id"))).cast("long"))
+    else:
+        numbered = number_rows(shown, [], [-F.col("id")], "row_no")
     joined = (
-        number_rows(shown, [], [-F.col("id")], "row_no")
+        numbered
         .join(counts, "id", "left")
         .withColumn("error_count", F.coalesce(F.col("error_count"), F.lit(0)))
         .withColumn("label", status_label(F.col("status")))
