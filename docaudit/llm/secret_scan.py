@@ -7,8 +7,7 @@ reported when the random model explains it much better, by its log-likelihood ra
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +21,10 @@ TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WIDTH = len(ALPHABET) + 1
 """Place 0 stands for the token's start."""
-MARGIN = 0.8
+MARGIN = 0.6
 """Least mean log-likelihood ratio per character, in nats."""
-SMOOTHING = 0.5
+BACKOFF = 4.0
+"""Transitions that the character's own frequency counts for."""
 
 
 SPANS = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
@@ -103,7 +103,8 @@ def log_ratios(scanned: DataFrame) -> list[float]:
 
     Samples are labelled by the fixed patterns: their values are random strings, long tokens
     apart from them are ordinary. The table has WIDTH * WIDTH cells whatever the corpus holds,
-    and only these counts reach the driver.
+    and only these counts reach the driver. Rare transitions lean on the frequency of their
+    character alone.
     """
     samples = scanned.select(F.explode("base").alias("x"), F.lit(1).alias("random")).unionByName(
         scanned.select(F.explode("tokens").alias("x"), F.lit(0).alias("random"))
@@ -114,11 +115,12 @@ def log_ratios(scanned: DataFrame) -> list[float]:
         .select("random", F.explode(_places_of(F.col("value"))).alias("cell"))
         .groupBy("random", "cell").agg(F.count("*").alias("n")).collect()
     )
-    n = [[SMOOTHING] * (WIDTH * WIDTH) for _ in range(2)]
+    n = np.zeros((2, WIDTH, WIDTH))
     for row in counts:
-        n[row["random"]][row["cell"]] += row["n"]
-    rows = [[sum(m[i * WIDTH : (i + 1) * WIDTH]) for i in range(WIDTH)] for m in n]
-    return [math.log(n[1][c] / rows[1][c // WIDTH]) - math.log(n[0][c] / rows[0][c // WIDTH]) for c in range(WIDTH * WIDTH)]
+        n[row["random"]].flat[row["cell"]] = row["n"]
+    single = (n.sum(1) + 0.5) / (n.sum((1, 2)) + 0.5 * WIDTH)[:, None]
+    chance = (n + BACKOFF * single[:, None, :]) / (n.sum(2, keepdims=True) + BACKOFF)
+    return (np.log(chance[1]) - np.log(chance[0])).ravel().tolist()
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
