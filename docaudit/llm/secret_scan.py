@@ -118,6 +118,7 @@ def log_ratios(scanned: DataFrame) -> list[float]:
     n = np.zeros((2, WIDTH, WIDTH))
     for row in counts:
         n[row["random"]].flat[row["cell"]] = row["n"]
+    n[0] = np.maximum(n[0] - 1, 0)  # a token that is judged must not vouch for itself
     single = (n.sum(1) + 0.5) / (n.sum((1, 2)) + 0.5 * WIDTH)[:, None]
     chance = (n + BACKOFF * single[:, None, :]) / (n.sum(2, keepdims=True) + BACKOFF)
     return (np.log(chance[1]) - np.log(chance[0])).ravel().tolist()
