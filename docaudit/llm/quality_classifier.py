@@ -20,6 +20,8 @@ RANK = 8
 TRAIN_ROWS = 10_000
 """Bound on the labelled rows that the model is fitted on."""
 EPOCHS = 6
+VISITS = 40_000
+"""Training goes on for EPOCHS rounds, and further until it has visited so many rows."""
 RATE = 0.05
 DENSE = [
     "words", "word_length", "distinct_words", "distinct_runs", "capitals", "digits", "points", "symbols",
@@ -142,7 +144,7 @@ class Machine:
         self.bias = float(np.log(good / (1 - good)))
         grown_linear, grown_vectors = np.full(self.linear.shape, 1e-6), np.full(self.vectors.shape, 1e-6)
         draw = np.random.default_rng(seed)
-        for _ in range(EPOCHS):
+        for _ in range(max(EPOCHS, -(-VISITS // len(label)))):
             for chosen in np.array_split(draw.permutation(len(label)), max(1, len(label) // 64)):
                 sizes = at[chosen + 1] - at[chosen]
                 pick = np.repeat(at[chosen], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
