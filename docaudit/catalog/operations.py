@@ -15,7 +15,7 @@ from ..sources import files as fl
 from ..sources import tables as st
 from ..streaming import intake as si
 from .adapters import sql
-from .extraction import raw_headers
+from .extraction import raw_headers, raw_items
 
 c = F.col
 NOW = "1998-01-01T00:00:00+00:00"
@@ -160,14 +160,24 @@ def _named(s, d):
 # --- C15, Q16 -----------------------------------------------------------------------
 
 def batch(spark, sf):
-    """Paged invoices as converted uploads with header answers; every 50th has no text."""
+    """Paged invoices as converted uploads with what the model answers.
+
+    Every 50th has no text. Every 49th header lacks its fields, every 47th is no text. Every 20th
+    text has no table, and then the items come from an answer that is whole, cut off, empty,
+    absent or of another shape in turn. Every 31st upload has no hash.
+    """
     docs = fx.md_paged(spark, sf).join(
         raw_headers(spark, sf).select("document_id", c("markdown").alias("head"), "header_json"), "document_id")
+    docs = docs.join(raw_items(spark, sf).withColumnRenamed("items_json", "answer"), "document_id")
     return docs.selectExpr(
-        "document_id as arrival", "concat(document_id, '.pdf') as filename", "sha2(cast(document_id as string), 256) as file_hash",
+        "document_id as arrival", "concat(document_id, '.pdf') as filename",
+        "if(document_id % 31 = 0, null, sha2(cast(document_id as string), 256)) as file_hash",
         "concat('/data/uploads/', document_id, '.pdf') as stored_path",
-        "if(document_id % 50 = 0, null, concat(head, '\\n\\n', markdown)) as markdown", "cast(null as string) as docling_json",
-        "cast(1 as int) as page_count", "header_json", "cast(null as string) as items_json", "cast(null as string) as findings_json")
+        "if(document_id % 50 = 0, null, if(document_id % 20 = 3, head, concat(head, '\\n\\n', markdown))) as markdown",
+        "cast(null as string) as docling_json", "cast(1 as int) as page_count",
+        "case when document_id % 49 = 0 then '{}' when document_id % 47 = 0 then '{\"invoice_number\":5}' else header_json end as header_json",
+        "if(document_id % 20 = 3, case document_id div 20 % 5 when 0 then '{}' when 1 then null when 2 then '[]'"
+        " else answer end, null) as items_json", "cast(null as string) as findings_json")
 
 
 def empty_tables(spark):
@@ -185,6 +195,19 @@ def _c15_items(s, d):
         F.regexp_extract("filename", r"^(\d+)", 1).cast("long").alias("arrival"), "position", "description", "quantity", "unit_price", "amount")
 
 
+def _c15_status(s, d):
+    """How each upload ended, and what its items answer was found to be."""
+    tables, done = _batch(s, d)
+    docs = tables["documents"].select(c("id").alias("document_id"), "status", "failure_reason", c("file_hash").isNull().alias("unhashed"))
+    items = tables["line_items"].groupBy("document_id").agg(F.count("*").alias("n_items"))
+    unread = tables["validation_errors"].filter("field = 'line_items' and severity = 'critical'").filter(
+        c("message").rlike("could be read|another shape|cut off")).groupBy("document_id").agg(F.count("*").alias("n_unread"))
+    return done.select("arrival", "document_id").join(docs, "document_id").join(items, "document_id", "left").join(
+        unread, "document_id", "left").select(
+        "arrival", (c("status") == "FAILED").alias("failed"), "failure_reason", "unhashed",
+        F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("n_unread", F.lit(0)).alias("n_unread"))
+
+
 def _q16(s, d):
     docs = fx.layout_scatter(s, d).join(D(s, d).drop("markdown", "docling_json").withColumnRenamed("id", "document_id"), "document_id")
     return audit.reparse_diff(docs.withColumnRenamed("document_id", "id"), I(s, d).filter("position <> 2 or document_id % 3 <> 0"), E(s, d), AS_OF).select(
@@ -288,6 +311,7 @@ QUERIES = {
     "c14_load_fields": lambda s, d: lc.load_fields(D(s, d), I(s, d)).select("document_id", "doc_type", "vendor_name", "total_amount", "position", "description", "amount"),
     "c15_batch_outcomes": lambda s, d: _batch(s, d)[1].select("arrival", (c("status") == "FAILED").alias("failed"), "skipped"),
     "c15_batch_items": _c15_items,
+    "c15_batch_status": _c15_status,
     "q16_reparse_diff": _q16,
     "t1_list_tickets": lambda s, d: tk.list_tickets(tickets(s, d)),
     "t2_ticket_counts": lambda s, d: tk.ticket_counts(tickets(s, d)),
@@ -439,11 +463,25 @@ ORACLES = {
         """SELECT d.id AS document_id, coalesce(doc_type, 'UNKNOWN') AS doc_type, vendor_name, total_amount, position, description, amount
            FROM inv_documents d LEFT JOIN inv_line_items i ON d.id = i.document_id""", "inv_documents", "inv_line_items"),
     "c15_batch_items": sql(
-        """SELECT document_id AS arrival, position, description, quantity, unit_price, amount FROM inv_items_exact
-           WHERE document_id % 50 <> 0 AND document_id IN (SELECT o_orderkey FROM orders)""", "inv_items_exact"),
+        """SELECT document_id AS arrival, position, description, quantity, unit_price, amount
+           FROM (SELECT *, max(position) OVER (PARTITION BY document_id) AS last FROM inv_items_exact)
+           WHERE document_id % 50 <> 0 AND document_id % 49 <> 0 AND document_id % 47 <> 0
+             AND (document_id % 20 <> 3 OR document_id // 20 % 5 >= 3 AND (document_id % 3 <> 0 OR position < last))
+             AND document_id IN (SELECT o_orderkey FROM orders)""", "inv_items_exact"),
     "c15_batch_outcomes": sql(
-        """SELECT DISTINCT document_id AS arrival, document_id % 50 = 0 AS failed, false AS skipped FROM inv_items_exact
-           WHERE document_id IN (SELECT o_orderkey FROM orders)""", "inv_items_exact"),
+        """SELECT DISTINCT document_id AS arrival, document_id % 50 = 0 OR document_id % 49 = 0 OR document_id % 47 = 0 AS failed,
+                  false AS skipped
+           FROM inv_items_exact WHERE document_id IN (SELECT o_orderkey FROM orders)""", "inv_items_exact"),
+    "c15_batch_status": sql(
+        """SELECT document_id AS arrival, reason IS NOT NULL AS failed, reason AS failure_reason, document_id % 31 = 0 AS unhashed,
+                  CASE WHEN reason IS NOT NULL THEN 0 WHEN document_id % 20 <> 3 THEN n WHEN k < 3 THEN 0
+                       WHEN document_id % 3 = 0 THEN n - 1 ELSE n END AS n_items,
+                  CASE WHEN reason IS NULL AND document_id % 20 = 3 AND (k IN (1, 2) OR k > 2 AND document_id % 3 = 0) THEN 1 ELSE 0 END AS n_unread
+           FROM (SELECT document_id, count(*) AS n, document_id // 20 % 5 AS k,
+                        CASE WHEN document_id % 50 = 0 THEN 'conversion failed'
+                             WHEN document_id % 49 = 0 OR document_id % 47 = 0 THEN 'header extraction failed' END AS reason
+                 FROM inv_items_exact WHERE document_id IN (SELECT o_orderkey FROM orders) GROUP BY document_id)""",
+        "inv_items_exact"),
     "q16_reparse_diff": sql(
         """SELECT id AS document_id, coalesce(s, 0) AS items_saved, coalesce(e, 0) AS errors_saved, n AS items_now, n - 2 AS recovered,
                   n AS checked, n AS checked_ok, n <> coalesce(s, 0) AS differs

@@ -51,11 +51,22 @@ def classify_document(markdown: Column) -> Column:
 
 # --- H1 -----------------------------------------------------------------------------
 
-def type_header(raw: DataFrame) -> DataFrame:
+def sound_header(answer: Column) -> Column:
+    """Whether a header answer is an object that holds every field as a text."""
+    whole = F.try_parse_json(answer)
+    texts = lambda n: F.schema_of_variant(F.try_variant_get(whole, f"$.{n}", "variant")) == "STRING"
+    sound = F.lit(True)
+    for n in RAW_HEADER.fieldNames():
+        sound = sound & F.coalesce(texts(n), F.lit(False))
+    return sound
+
+
+def type_header(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Raw header answers (document_id, header_json, markdown) as typed columns (H1)."""
     typed = lambda n: to_number(c(f"h.{n}")) if n in V.HEADER_AMOUNTS else to_text(c(f"h.{n}"))
     return raw.withColumn("h", F.from_json("header_json", RAW_HEADER)).select(
         "document_id",
+        *keep,
         classify_document(c("markdown")).alias("doc_type"),
         *[typed(n).alias(n) for n in RAW_HEADER.fieldNames()],
     )
@@ -84,7 +95,8 @@ def salvage_objects(text: Column) -> Column:
 def type_items(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Items of raw answers (document_id, items_json), and issues for unreadable ones (H2).
 
-    A truncated answer keeps its whole objects; an answer of another shape keeps nothing.
+    A truncated answer keeps its whole objects, their values taken as text; an answer of
+    another shape keeps nothing, and none has nothing. An object without a list is empty.
     """
     whole = F.try_parse_json("items_json")
     texts = lambda v: F.schema_of_variant(v) == "STRING"
@@ -99,8 +111,12 @@ def type_items(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         ),
     )
     listed = F.from_json("items_json", f"line_items array<{_RAW_ITEM}>")["line_items"]
+    bare = whole.isNotNull() & F.json_object_keys("items_json").isNotNull()
+    bare &= ~F.coalesce(F.array_contains(F.json_object_keys("items_json"), "line_items"), F.lit(False))
     kind = (
-        F.when(whole.isNull(), "truncated")
+        F.when(c("items_json").isNull(), "missing")
+        .when(whole.isNull(), "truncated")
+        .when(bare, "empty")
         .when(F.coalesce(sound, F.lit(False)), "whole")
         .otherwise("unreadable")
     )
@@ -124,6 +140,7 @@ def type_items(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
             issue(c("kind") == "truncated", "H2", "line_items",
                   F.format_string("the item answer is cut off; %d items recovered", F.size("found")), stage=EXTRACTION, rule=2),
             issue(c("kind") == "unreadable", "H2", "line_items", "the item answer has another shape", stage=EXTRACTION, rule=2),
+            issue(c("kind") == "missing", "H2", "line_items", "no items could be read", stage=EXTRACTION, rule=2),
         ],
     )
     return items, issues
