@@ -34,7 +34,7 @@ def md_spilled(spark, sf):
 
 def _typed(docs, no=0):
     """document_id and the typed rows of table `no`."""
-    return tb.with_tables(docs.filter(c("markdown").contains("page 2")) if no else docs).select(
+    return tb.with_tables(docs).select(
         "document_id", F.get("tables", F.lit(no)).alias("table"))
 
 
@@ -87,7 +87,7 @@ def _p7(s, d):
 
 def _p8(s, d):
     df = _typed(fx.md_paged(s, d), no=1).select("document_id", tb.infer_mapping(c("table")).alias("m"))
-    return _mapping_cols(df).filter("d is not null")
+    return _mapping_cols(df)
 
 
 def _p9(s, d):
@@ -122,9 +122,10 @@ def _p12(s, d):
 
 
 def _p13(s, d):
-    df = _data(fx.md_numbered(s, d).filter("document_id % 2 = 0"))
-    m = tb._mapping(d=F.lit(1), p=F.lit(3), a=F.lit(4), q=F.lit(2))
-    return df.select("document_id", tb.number_column(c("table"), m).cast("long").alias("i"))
+    numbered = tb._mapping(d=F.lit(1), p=F.lit(3), a=F.lit(4), q=F.lit(2))
+    plain = tb._mapping(d=F.lit(0), p=F.lit(2), a=F.lit(3), q=F.lit(1))
+    found = F.when(c("document_id") % 2 == 0, tb.number_column(c("table"), numbered)).otherwise(tb.number_column(c("table"), plain))
+    return _data(fx.md_numbered(s, d)).select("document_id", found.cast("long").alias("i"))
 
 
 def _p15(s, d):
@@ -296,7 +297,7 @@ QUERIES = {
     "p11_merge_spilled_text": _raw_items(md_spilled),
     "p12_build_item": _p12,
     "p13_number_column": _p13,
-    "p14_strip_row_numbers": lambda s, d: _raw_items(lambda a, b: fx.md_numbered(a, b).filter("document_id % 2 = 1"))(s, d),
+    "p14_strip_row_numbers": _raw_items(fx.md_numbered),
     "p15_keep_document_numbers": _p15,
     "p16_parse_line_items": _items(fx.md_single),
     "p16_shifted_items": _items(fx.md_shifted),
@@ -395,7 +396,8 @@ ORACLES = {
         """SELECT document_id, CASE WHEN n > 1 THEN 1 ELSE 2 END AS d, CASE WHEN n > 1 THEN 2 ELSE 3 END AS p, CAST(NULL AS BIGINT) AS t,
            CASE WHEN n > 1 THEN 3 ELSE 0 END AS a, CASE WHEN n > 1 THEN 0 ELSE 1 END AS q FROM c""", _X, c=_N),
     "p8_infer_mapping": sql(
-        "SELECT document_id, 1 AS d, 2 AS p, CAST(NULL AS BIGINT) AS t, 3 AS a, 0 AS q FROM c WHERE n >= 5", _X, c=_N),
+        """SELECT document_id, CASE WHEN n >= 5 THEN 1 END AS d, CASE WHEN n >= 5 THEN 2 END AS p, CAST(NULL AS BIGINT) AS t,
+                  CASE WHEN n >= 5 THEN 3 END AS a, CASE WHEN n >= 5 THEN 0 END AS q FROM c""", _X, c=_N),
     "p9_single_amount_mapping": sql(
         """SELECT document_id, 0 AS d, CAST(NULL AS BIGINT) AS p, CAST(NULL AS BIGINT) AS t, 1 AS a, CAST(NULL AS BIGINT) AS q FROM n""",
         _X, n=_N),
@@ -412,8 +414,7 @@ ORACLES = {
     "p12_build_item": sql(
         """SELECT document_id, position, description || ' (' || CAST(quantity AS BIGINT) || ')' AS description, quantity, unit_price, amount
            FROM inv_items_exact""", _X),
-    "p13_number_column": sql("SELECT document_id, CASE WHEN n > 1 THEN 0 END AS i FROM t WHERE document_id % 2 = 0", _X, t=_N),
-    "p14_strip_row_numbers": sql(f"SELECT {', '.join(ITEM)} FROM inv_items_exact WHERE document_id % 2 = 1", _X),
+    "p13_number_column": sql("SELECT document_id, CASE WHEN n > 1 AND document_id % 2 = 0 THEN 0 END AS i FROM t", _X, t=_N),
     "p15_keep_document_numbers": sql(
         """SELECT document_id, position AS place, CASE WHEN (document_id % 3 = 0 AND n >= 2) OR (document_id % 5 = 0 AND n >= 2) THEN NULL
            WHEN document_id % 5 = 0 THEN 1000 - position ELSE position END AS position FROM inv_items_exact JOIN t USING (document_id)""",
@@ -440,8 +441,11 @@ ORACLES = {
     "l4_build_layout_item": sql(
         "SELECT document_id, position, description, quantity, unit_price, amount FROM inv_items_exact WHERE position > 2", _X),
     "l5_recover_missing_items": sql(
-        f"SELECT {', '.join(ITEM)}, position AS ord FROM inv_items_exact JOIN t USING (document_id) WHERE n >= 3", _X, t=_N),
+        f"""SELECT {', '.join(ITEM)}, ord FROM (
+            SELECT * REPLACE (CASE WHEN n > 1 THEN position END AS position), position AS ord FROM inv_items_exact JOIN t USING (document_id))""",
+        _X, t=_N),
     "l6_recovery_issues": sql(
         """SELECT document_id, 'L6' AS code, 'line_items' AS field, 'warning' AS severity,
            (n - 2) || ' items lay outside of the tables and were recovered from their position' AS message FROM t WHERE n >= 3""", _X, t=_N),
 }
+ORACLES["p14_strip_row_numbers"] = ORACLES["p16_numbered_items"]

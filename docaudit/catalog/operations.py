@@ -124,7 +124,7 @@ def _ticket_files(s, d):
 def _write_read_tickets(s, d):
     folder = shared_dir(s, "tickets")
     fl.write_tickets(tickets(s, d), folder)
-    return s.read.schema(TICKET).json(folder).select("number", "slug", "status", "created_at", "message")
+    return fl.read_tickets(s, folder, lines=True).select("number", "slug", "status", "created_at", "message")
 
 
 def _uploads(s, d):
@@ -321,6 +321,14 @@ QUERIES = {
         "slug", "status", "status_changed_at"),
     "t5_ticket_context": lambda s, d: tk.ticket_context(tickets(s, d), D(s, d), E(s, d), I(s, d))["document"].select(
         "slug", "document_id", "vendor_name", "error_count", "item_count"),
+    "t5_context_items": lambda s, d: tk.ticket_context(tickets(s, d), D(s, d), E(s, d), I(s, d))["line_items"].select(
+        "slug", "document_id", "position", "description", "amount"),
+    "t5_context_errors": lambda s, d: tk.ticket_context(tickets(s, d), D(s, d), E(s, d), I(s, d))["errors"].select(
+        "slug", "document_id", "field", "severity", "resolved"),
+    "t5_context_preview": lambda s, d: tk.ticket_context(
+        tickets(s, d), fx.table(s, d, "documents").select(c("doc_id").alias("id"), c("text").alias("markdown"), F.lit("x").alias("status"),
+        F.lit("y").alias("created_at")), E(s, d), I(s, d))["document"].select(
+        "slug", F.md5("markdown_preview").alias("preview"), "markdown_truncated"),
     "t6_delete_tickets": lambda s, d: tk.delete_tickets(tickets(s, d), tickets(s, d).filter("number % 4 = 0").select("slug"))[0].select("slug"),
     "io1_read_uploads": _uploads,
     "io2_read_tables": lambda s, d: _tables(s, d)["documents"].select("id", "status", "page_count", "total_amount", "created_at"),
@@ -483,13 +491,13 @@ ORACLES = {
                  FROM inv_items_exact WHERE document_id IN (SELECT o_orderkey FROM orders) GROUP BY document_id)""",
         "inv_items_exact"),
     "q16_reparse_diff": sql(
-        """SELECT id AS document_id, coalesce(s, 0) AS items_saved, coalesce(e, 0) AS errors_saved, n AS items_now, n - 2 AS recovered,
+        """SELECT id AS document_id, coalesce(s, 0) AS items_saved, coalesce(e, 0) AS errors_saved, n AS items_now, greatest(n - 2, 0) AS recovered,
                   n AS checked, n AS checked_ok, n <> coalesce(s, 0) AS differs
            FROM inv_documents JOIN t ON t.document_id = id
            LEFT JOIN (SELECT document_id, count(*) AS s FROM inv_line_items WHERE position <> 2 OR document_id % 3 <> 0 GROUP BY 1) a ON a.document_id = id
            LEFT JOIN (SELECT document_id, count(*) AS e FROM inv_errors GROUP BY 1) b ON b.document_id = id""",
         "inv_documents", "inv_line_items", "inv_items_exact", "inv_errors",
-        t="SELECT document_id, count(*) AS n FROM inv_items_exact GROUP BY 1 HAVING count(*) >= 3"),
+        t="SELECT document_id, count(*) AS n FROM inv_items_exact GROUP BY 1"),
     "t1_list_tickets": sql(
         "SELECT slug, number, status, created_at, section, document_id, section || ' broke' AS summary FROM tickets WHERE status = 'OPEN'",
         tickets=_TICKETS),
@@ -508,6 +516,15 @@ ORACLES = {
            LEFT JOIN (SELECT document_id, count(*) AS e FROM inv_errors GROUP BY 1) a ON a.document_id = t.document_id
            LEFT JOIN (SELECT document_id, count(*) AS i FROM inv_line_items GROUP BY 1) b ON b.document_id = t.document_id
            WHERE t.document_id IS NOT NULL""", "inv_documents", "inv_line_items", "inv_errors", tickets=_TICKETS),
+    "t5_context_items": sql(
+        "SELECT slug, t.document_id, position, description, amount FROM tickets t JOIN inv_line_items i ON i.document_id = t.document_id",
+        "inv_line_items", tickets=_TICKETS),
+    "t5_context_errors": sql(
+        "SELECT slug, t.document_id, field, severity, resolved FROM tickets t JOIN inv_errors e ON e.document_id = t.document_id",
+        "inv_errors", tickets=_TICKETS),
+    "t5_context_preview": sql(
+        """SELECT slug, md5(left(text, 12000)) AS preview, length(text) > 12000 AS markdown_truncated
+           FROM tickets LEFT JOIN documents ON doc_id = document_id WHERE document_id IS NOT NULL""", tickets=_TICKETS),
     "t6_delete_tickets": sql("SELECT slug FROM tickets WHERE number % 4 <> 0", tickets=_TICKETS),
     "io1_read_uploads": f"""
         SELECT '/in/' || doc_id || {_EXT} AS path, doc_id || {_EXT} AS filename, sha256(text) AS file_hash, length(text) AS size FROM documents

@@ -210,7 +210,6 @@ def layout_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
         placed.withColumn("line", line)
         .groupBy("document_id")
         .agg(F.count("*").alias("n"), ordered("line").alias("lines"), ordered("frags").alias("frags"))
-        .filter("n >= 3")
         .selectExpr(
             "document_id",
             r"concat('| Item # | Description | Qty | Unit Price | Total |\n|---|---|---|---|---|\n',"

@@ -55,15 +55,13 @@ def parse_tickets(raw: DataFrame) -> DataFrame:
     )
 
 
-def read_tickets(spark: SparkSession, folder: str) -> DataFrame:
-    """IO5: every context.json below the folder, newest first."""
-    raw = (
-        spark.read.text(f"{folder.rstrip('/')}/*/context.json", wholetext=True)
-        .select("value", c("_metadata.file_path").alias("path"), c("_metadata.file_modification_time").alias("modified"))
-    )
+def read_tickets(spark: SparkSession, folder: str, lines: bool = False) -> DataFrame:
+    """IO5: every context.json below the folder, or with `lines` what `write_tickets` wrote; newest first."""
+    text = spark.read.text(folder) if lines else spark.read.text(f"{folder.rstrip('/')}/*/context.json", wholetext=True)
+    raw = text.select("value", c("_metadata.file_path").alias("path"), c("_metadata.file_modification_time").alias("modified"))
     return parse_tickets(raw).orderBy(F.desc(F.coalesce(c("created_at"), F.lit(""))), "slug")
 
 
 def write_tickets(tickets: DataFrame, folder: str, mode: str = "append") -> None:
-    """IO6: one JSON record per ticket. Records share files: a folder each would be one file per row."""
+    """IO6: one JSON record per line, for `read_tickets` with `lines`. A folder each would be one file per row."""
     tickets.write.mode(mode).json(folder)
