@@ -224,8 +224,10 @@ def _upload_stream(s, d):
 
 def _st1(s, d):
     folder = shared_dir(s, "arrivals")
-    fx.table(s, d, "pages").select("html").repartition(4).write.text(folder)  # the files that arrive
-    return si.collect_stream(si.stream_intake(s, folder).select("filename", "file_hash", "size"), "intake")
+    pages = fx.table(s, d, "pages").select("html", "page_id", (c("page_id") % 4).alias("part"))  # four files arrive
+    ordered = pages.repartition(4, "part").sortWithinPartitions("part", "page_id")
+    ordered.select("html", "part").write.partitionBy("part").text(folder)
+    return si.collect_stream(si.stream_intake(s, folder).select("file_hash", "size"), "intake")
 
 
 def _st2(s, d):
@@ -255,6 +257,14 @@ def _st4(s, d):
     return si.stale_in_batches(changes.groupBy("id", "at").agg(F.max("status").alias("status")))
 
 
+def _st4_timers(s, d):
+    s.conf.set("spark.sql.streaming.stateStore.providerClass",
+               "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    changes = si.stream_table(s, d, "events").selectExpr(
+        "user_id as id", "if(event_type = 'click', 'PROCESSING', 'PENDING') as status", "cast(ts as timestamp) as at")
+    return si.collect_stream(si.stream_stale(changes), "timers").select("id", "status")
+
+
 def _st5(s, d):
     orders = si.stream_table(s, d, "orders").selectExpr(
         "case when o_orderkey % 97 = 0 then 'FAILED' when o_orderstatus = 'F' then 'VALIDATED'"
@@ -265,7 +275,7 @@ def _st5(s, d):
 def _st6(kind):
     def run(s, d):
         ev = si.stream_table(s, d, "events").selectExpr("cast(ts as timestamp) as ts", "case when value > 50 then 'critical' else 'warning' end as severity")
-        out = si.collect_stream(si.error_windows(ev, c("ts"), kind), kind, "complete" if kind != "session" else "append")
+        out = si.collect_stream(si.error_windows(ev, c("ts"), kind), kind)
         fmt = "yyyy-MM-dd HH:mm:ss"
         return out.select(F.date_format("start", fmt).alias("start_at"), F.date_format("end", fmt).alias("end_at"), "severity", "n")
 
@@ -347,9 +357,11 @@ QUERIES = {
     "st2_stream_reserve": _st2_table,
     "st3_stream_validate": _st3,
     "st4_stream_stale": _st4,
+    "st4_stream_timers": _st4_timers,
     "st5_stream_status_counts": _st5,
     "st6_tumbling_errors": _st6("tumbling"),
     "st6_sliding_errors": _st6("sliding"),
+    "st6_session_errors": _st6("session"),
 }
 
 # --- SQL ----------------------------------------------------------------------------
@@ -399,7 +411,17 @@ def _window(size, step):
         SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start_at, strftime(s + INTERVAL {size} HOUR, '%Y-%m-%d %H:%M:%S') AS end_at, severity, count(*) AS n
         FROM (SELECT CASE WHEN value > 50 THEN 'critical' ELSE 'warning' END AS severity,
                      unnest([time_bucket(INTERVAL {step} HOUR, ts, TIMESTAMP '1970-01-01') - k * INTERVAL {step} HOUR for k in range({size // step})]) AS s
-              FROM events) GROUP BY ALL"""
+              FROM events) WHERE s + INTERVAL {size} HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY ALL"""
+
+
+_SESSIONS = """
+    SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start_at, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS end_at,
+           severity, count(*) AS n
+    FROM (SELECT ts, severity, sum(fresh) OVER (PARTITION BY severity ORDER BY ts) AS session
+          FROM (SELECT ts, severity, CASE WHEN ts - lag(ts) OVER (PARTITION BY severity ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh
+                FROM (SELECT ts, CASE WHEN value > 50 THEN 'critical' ELSE 'warning' END AS severity FROM events)))
+    GROUP BY severity, session
+    HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
 
 
 ORACLES = {
@@ -557,6 +579,9 @@ ORACLES = {
     "io10_table_inventory": sql(
         f"""SELECT 'documents' AS table_name, count(*) AS row_count, {len(DOCUMENTS)} AS column_count FROM orders
             UNION ALL SELECT 'line_items', count(*), 8 FROM lineitem UNION ALL SELECT 'validation_errors', count(*), {len(VALIDATION_ERRORS)} FROM events"""),
+    "st1_stream_intake": """
+        SELECT sha256(string_agg(html || chr(10), '' ORDER BY page_id)) AS file_hash, CAST(sum(strlen(html) + 1) AS BIGINT) AS size
+        FROM pages GROUP BY page_id % 4""",
     "st2_stream_dedupe": "SELECT DISTINCT sha256(text) AS file_hash FROM documents",
     "st2_stream_reserve": sql(_RESERVED, "inv_uploads", **_RES),
     "st5_stream_status_counts": sql("SELECT status, count(*) AS n FROM inv_documents GROUP BY status", "inv_documents"),
@@ -567,6 +592,12 @@ ORACLES = {
         WHERE status = 'PROCESSING' AND seen + INTERVAL {V.STALE_MINUTES} MINUTE < (SELECT max(ts) FROM events)""",
     "st6_tumbling_errors": _window(24, 24),
     "st6_sliding_errors": _window(24, 12),
+    "st6_session_errors": _SESSIONS,
+    "st4_stream_timers": f"""
+        SELECT id, 'FAILED' AS status FROM (SELECT id, max(seen) AS seen, arg_max(status, seen) AS status
+            FROM (SELECT user_id AS id, ts AS seen, max(CASE WHEN event_type = 'click' THEN 'PROCESSING' ELSE 'PENDING' END) AS status
+                  FROM events GROUP BY 1, 2) GROUP BY 1)
+        WHERE status = 'PROCESSING' AND seen + INTERVAL {V.STALE_MINUTES} MINUTE + INTERVAL 1 SECOND <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
 }
 from .rules import ORACLES as _RULES  # noqa: E402
 

@@ -1,5 +1,6 @@
 import glob
 import os
+import re
 
 import duckdb
 import pytest
@@ -8,17 +9,19 @@ import __spark_entry__ as entry
 from tools.check import diff
 
 SF = "/root/testdata/sf0.001"
-NO_SQL = {"io11_column_inventory", "st1_stream_intake"}
 SAMPLE = [
     "q6_arithmetic_mismatches", "q7_items_vs_totals", "q14_numbered_list", "r18_rule_check", "v1_dedupe_issues",
     "g2_grounding_check", "p10_paged_items", "l4_build_layout_item", "h6_apply_probe", "c1_reserve", "t3_number_tickets",
-    "st2_stream_reserve",
+    "st2_stream_reserve", "st6_session_errors",
 ]
+OWN = re.compile(r"(op\d+_.*|pipeline)$")  # the corpus operators have tests of their own
+if os.environ.get("ALL_QUERIES"):  # every registered query; takes some minutes
+    SAMPLE = [n for n in entry.oracle_sql() if not OWN.match(n)]
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == NO_SQL
-    assert not set(entry.oracle_sql()) - set(entry.queries())
+    named = {n for n in entry.queries() if not OWN.match(n)}
+    assert named == {n for n in entry.oracle_sql() if not OWN.match(n)}
 
 
 def test_entry(spark):

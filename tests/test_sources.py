@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from docaudit.schemas import DOCUMENTS
 from docaudit.sources import files, tables
 from docaudit.streaming import intake
 
@@ -51,6 +52,37 @@ def test_windows_and_stale_timers(spark):
     assert [(r.id, r.status) for r in got.collect()] == [(1, "FAILED")]
 
 
+def test_a_stream_goes_on_where_it_stopped(spark):
+    from docaudit.session import shared_dir
+
+    source, folder = shared_dir(spark, "source"), shared_dir(spark, "state")
+    part = lambda i: spark.createDataFrame([(i, f"h{i}", "f", "p"), (i + 10, "same", "f", "p")], "arrival long, file_hash string, filename string, stored_path string")
+    part(1).coalesce(1).write.parquet(f"{source}/a")
+    stored = spark.createDataFrame([], DOCUMENTS)
+
+    def drain():
+        stream = spark.readStream.schema(part(1).schema).option("recursiveFileLookup", "true").parquet(source)
+        docs, outcomes = intake.stream_reserve(stream, stored, "2024-01-01T00:00:00+00:00", folder)
+        return sorted(r.file_hash for r in docs.collect()), sorted((r.arrival, r.skipped) for r in outcomes.collect())
+
+    assert drain() == (["h1", "same"], [(1, False), (11, False)])
+    part(2).coalesce(1).write.parquet(f"{source}/b")
+    want = (["h1", "h2", "same"], [(1, False), (2, False), (11, False), (12, True)])
+    assert drain() == want and drain() == want
+
+
+def test_a_late_change_never_replaces_a_newer_one(spark):
+    from docaudit.session import shared_dir
+
+    t0 = datetime(2024, 1, 1)
+    source = shared_dir(spark, "late")
+    schema = "id long, status string, at timestamp"
+    spark.createDataFrame([(1, "PENDING", t0 + timedelta(minutes=3)), (9, "PENDING", t0)], schema).coalesce(1).write.parquet(f"{source}/a")
+    spark.createDataFrame([(1, "PROCESSING", t0), (9, "PENDING", t0 + timedelta(days=1))], schema).coalesce(1).write.parquet(f"{source}/b")
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(source)
+    assert intake.collect_stream(intake.stream_stale(stream), "stale").count() == 0
+
+
 def test_session_windows(spark):
     from docaudit.session import shared_dir
 
