@@ -207,8 +207,10 @@ _H3_CASES = [
 
 
 def type_texts(spark, sf):
-    whens = " ".join(f"when {i} then '{t.replace('{id}', chr(39) + ' || o_orderkey || ' + chr(39))}'" for i, (t, _) in enumerate(_H3_CASES))
-    return fx.table(spark, sf, "orders").selectExpr("o_orderkey", f"case o_orderkey % {len(_H3_CASES)} {whens} end as markdown")
+    """The documents' texts, which name no type by themselves, with a phrase that may do so."""
+    whens = " ".join(f"when {i} then '{t.replace('{id}', chr(39) + ' || doc_id || ' + chr(39))}'" for i, (t, _) in enumerate(_H3_CASES))
+    phrase = f"case doc_id % {len(_H3_CASES)} {whens} end"
+    return fx.table(spark, sf, "documents").selectExpr("doc_id", f"concat(text, '\\n', {phrase}, '\\n', left(text, 300)) as markdown")
 
 
 def headed_pages(spark, sf):
@@ -274,7 +276,7 @@ QUERIES = {
     "h2_item_issues": lambda s, d: hd.type_items(raw_items(s, d))[1].select("document_id", "code", "severity", "message"),
     "h2b_salvage_objects": lambda s, d: raw_items(s, d).select(
         "document_id", F.size(hd.salvage_objects(c("items_json"))).cast("long").alias("n")),
-    "h3_classify_document": lambda s, d: type_texts(s, d).select("o_orderkey", hd.classify_document(c("markdown")).alias("doc_type")),
+    "h3_classify_document": lambda s, d: type_texts(s, d).select("doc_id", hd.classify_document(c("markdown")).alias("doc_type")),
     "h4_vendor_from_heading": lambda s, d: headed_pages(s, d).select("page_id", hd.vendor_from_heading(c("markdown")).alias("vendor")),
     "h5_fill_vendor": lambda s, d: hd.fill_vendor(headed_docs(s, d))[0].select("id", "vendor_name"),
     "h5_vendor_issues": lambda s, d: hd.fill_vendor(headed_docs(s, d))[1].select("document_id", "code", "field", "severity"),
@@ -342,7 +344,7 @@ ORACLES = {
         """SELECT document_id, 'H2' AS code, 'critical' AS severity, 'the item answer is cut off; ' || (n - 1) || ' items recovered' AS message
            FROM t WHERE document_id % 3 = 0""", _X, t=_N),
     "h2b_salvage_objects": sql("SELECT document_id, CASE WHEN document_id % 3 = 0 THEN n - 1 ELSE n END AS n FROM t", _X, t=_N),
-    "h3_classify_document": f"SELECT o_orderkey, {[k for _, k in _H3_CASES]}[o_orderkey % {len(_H3_CASES)} + 1] AS doc_type FROM orders",
+    "h3_classify_document": f"SELECT doc_id, {[k for _, k in _H3_CASES]}[doc_id % {len(_H3_CASES)} + 1] AS doc_type FROM documents",
     "h4_vendor_from_heading": f"""
         SELECT page_id, CASE WHEN length(t) >= 3 AND NOT regexp_matches(t, '(?i)invoice|receipt|bill\\s*to|ship\\s*to|영수증|청구서|세금계산서')
             AND lower(t) NOT IN ('to', 'from', 'comments', 'notes', 'description', 'terms', 'summary', 'details', 'items')
