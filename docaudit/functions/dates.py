@@ -134,7 +134,9 @@ def round_cents(c: Column) -> Column:
 
 def _two_decimals(c: Column) -> Column:
     cents = c.try_cast("decimal(18,2)")
-    return F.when(cents.cast("double") == c, cents.cast("string")).otherwise(round_cents(c))
+    # below 1e13 doubles lie closer than cents, so one that spells two decimals rounds to them
+    plain = (cents.cast("double") == c) & (F.abs(c) < 1e13)
+    return F.when(plain, cents.cast("string")).otherwise(round_cents(c))
 
 
 def _group_thousands(s: Column) -> Column:
