@@ -38,7 +38,7 @@ def op6_quality_rules(spark, sf_dir):
 
 
 def op7_substring_dedup(spark, sf_dir):
-    return substring_dedup.repeated_units(table(spark, sf_dir, "documents"))
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
 
 def op8_quality_classifier(spark, sf_dir):
