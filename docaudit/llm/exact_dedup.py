@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settled
-from .common import lower_ascii, whole
+from .common import lower_ascii, placed, rows_at, whole
 
 LONGEST_CHUNK = 16_384
 FIRST, NEXT = "\x00+", "\x00-"
@@ -97,7 +97,7 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     doubtful = docs.join(shared, F.col(key).eqNullSafe(F.col("__shared")), "left_semi")
     texts = chunk_store(doubtful, text).groupBy("digest").agg(F.count("*").alias("n"))
     most = texts.agg(F.max("n").alias("n")).scalar()
-    verified = F.when(F.coalesce(most, F.lit(1)) > 1, F.raise_error(F.lit("two chunks share a digest")).cast("long"))
+    verified = F.when(F.coalesce(most, F.lit(1)) > 1, F.raise_error(F.lit("two chunks share a digest")))
     return rows.join(groups, "__class").select(
         F.col("__key").alias(key),
         F.coalesce(verified.cast(docs.schema[key].dataType), "keep_id").alias("keep_id"),
@@ -108,9 +108,11 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that `exact_groups` keeps, with all their columns."""
-    kept = exact_groups(docs, key, text).filter("kept")
-    kept = kept.select(F.col(key).alias("__kept"), F.col("text_sha256").alias("__sha")).distinct()
-    same = F.col(key).eqNullSafe(F.col("__kept"))
-    same &= F.sha2(lower_ascii(whole(F.col(text))), 256) == F.col("__sha")
-    return docs.join(kept, same, "left_semi")
+    """One row of each class of equal texts, with all its columns.
+
+    It is the row with the largest key; null keys come last, and places in the files part equal ones.
+    """
+    rows = placed(docs)
+    rank = F.struct(F.col(key).isNotNull().alias("known"), F.col(key).alias("key"), F.col("__place").alias("place"))
+    kept = exact_groups(rows.withColumn("__rank", rank), "__rank", text).filter("kept")
+    return rows_at(rows, kept.select("__rank.place"))

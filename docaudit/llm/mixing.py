@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ranking import number_rows
 from ..session import settled
-from .common import BLANK, whole
+from .common import BLANK, placed, whole
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -129,17 +129,19 @@ def _fly_block(frame: pd.DataFrame) -> pd.DataFrame:
     return frame.assign(pi=pi)
 
 
-def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mix_sources(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", carried: tuple[str, ...] = ()
+) -> DataFrame:
     """How often each document enters the mix: (key, size, source_size, target, times, taken).
 
     A row per input row; `taken` is `size * times`. All documents of a source have the same
     expected number of repeats, at most MOST_REPEATS, so that its words come to its target but
     for what is landed at the end. Draws depend on keys and sources alone, so reruns agree;
     rows of equal key and size may change places. Null texts count as empty and may be taken,
-    at no words; a null source is one source; an empty table gives no rows; extra columns are
-    ignored. A source without words has the target 0 and is not taken.
+    at no words; a null source is one source; an empty table gives no rows; extra columns but
+    those `carried` are ignored. A source without words has the target 0 and is not taken.
     """
-    sizes = docs.select(F.col(key).alias("__key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    sizes = docs.select(F.col(key).alias("__key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *carried)
     sizes = settled(sizes.withColumn("row", F.monotonically_increasing_id()), "sizes")
     goals = settled(source_targets(sizes), "targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -171,15 +173,16 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     times = F.col("repeats") + F.when(F.col("__row").isNotNull(), 1).otherwise(0)
     return rows.join(drawn, F.col("row") == F.col("__row"), "left").select(
         F.col("__key").alias(key), "size", "source_size", "target", times.alias("times"),
-        (F.col("size") * times).cast("long").alias("taken"), "source",
+        (F.col("size") * times).cast("long").alias("taken"), "source", *carried,
     )
 
 
 def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The documents of the mix, each as many times as it is taken, with all their columns."""
-    times = mix_sources(docs, key, text, source).filter("times > 0")
-    times = times.groupBy(key).agg(F.max("times").alias("__times")).withColumnRenamed(key, "__taken")
-    taken = docs.join(times, F.col(key).eqNullSafe(F.col("__taken")))
+    """The rows of the mix, each as many times as it is taken, with all their columns."""
+    rows = placed(docs)
+    times = mix_sources(rows, key, text, source, ("__place",)).filter("times > 0")
+    times = times.select(F.col("__place").alias("__taken"), F.col("times").alias("__times"))
+    taken = rows.join(times, F.col("__place") == F.col("__taken"))
     copies = F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__copy")
     return taken.select(*[F.col(c) for c in docs.columns], copies).drop("__copy")
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settled
-from .common import BLANK, whole, words
+from .common import BLANK, placed, rows_at, whole, words
 
 SYMBOLS = "#*$%&|<>"  # in a character class
 FEATURES = ["word_length", "symbols", "dup_lines", "repeats", "capitals", "other"]
@@ -234,7 +234,6 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def without_rejected(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that `judge` keeps, with all their columns."""
-    verdict = judge(docs, key, text).groupBy(key).agg(F.max("kept").alias("kept"))
-    good = verdict.filter("kept").select(F.col(key).alias("__good"))
-    return docs.join(good, F.col(key).eqNullSafe(F.col("__good")), "left_semi")
+    """The rows that `judge` keeps, with all their columns; each is judged by itself, whatever its key."""
+    rows = placed(docs)
+    return rows_at(rows, judge(rows, "__place", text).filter("kept").select("__place"))
