@@ -5,7 +5,10 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, language_model, mixing, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, warc
+from . import (
+    exact_dedup, jaccard_join, language_model, lexical_search, merkle, mixing, oracles, packing, quality_classifier,
+    quality_rules, secret_scan, sentence_pieces, substring_dedup, warc,
+)
 from .common import table
 
 
@@ -54,9 +57,27 @@ def op10_warc(spark, sf_dir):
     return warc.archive_pages(table(spark, sf_dir, "pages")).drop("target_uri")
 
 
+def op11_lexical_search(spark, sf_dir):
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_sentence_pieces(spark, sf_dir):
+    model = sentence_pieces.default_model()
+    encoded = sentence_pieces.encode_texts(table(spark, sf_dir, "documents"), model)
+    return sentence_pieces.decode_texts(encoded, model).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op13_merkle_manifest(spark, sf_dir):
+    return merkle.verify_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in [
     op1_source_mix, op2_exact_dedup, op3_packing, op4_jaccard_join, op5_language_model, op6_quality_rules,
     op7_substring_dedup, op8_quality_classifier, op9_secret_scan, op10_warc,
+    op11_lexical_search, op12_sentence_pieces, op13_merkle_manifest,
 ]}
 QUERIES["pipeline"] = corpus_pipeline.run
 
@@ -77,4 +98,6 @@ ORACLES = {
                CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN last_id END AS refers_to
         FROM digested""",
+    "op11_lexical_search": oracles.RANKED_SEARCH,
+    "op13_merkle_manifest": oracles.merkle_manifest(),
 }
