@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions.dates import parse_date
-from .functions.text import exact_sum
+from .operators.totals import exact_sums
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
@@ -64,7 +64,7 @@ def inv_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").selectExpr(
         "l_orderkey", "case when l_partkey % 31 <> 0 then l_extendedprice end as amount"
     )
-    totals = li.groupBy("l_orderkey").agg(exact_sum(F.col("amount")).alias("s"))
+    totals = exact_sums(li, ["l_orderkey"], {"s": F.col("amount")})
     orders = table(spark, sf_dir, "orders", spread=True).join(
         table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"),
         F.col("o_custkey") == F.col("c_custkey"),

@@ -85,15 +85,47 @@ def _rounded_units(x: Column, digits: Column) -> Column:
     return let(t * F.pow(F.lit(10.0), digits).cast("decimal(10,0)"), settle)
 
 
+_LIMB = 10**14
+
+
+def _huge_digits(a: Column) -> Column:
+    """The digits of a finite double from 2^115 on, exactly.
+
+    It is a whole number m * 2^e. Its decimal digits, in limbs of 14 from the lowest up, are
+    multiplied by 2^13 at a time.
+    """
+    limb = F.lit(_LIMB)
+
+    def times(limbs, factor):
+        def one(acc, x):
+            return let(x * factor + acc["carry"], lambda y: F.struct(
+                F.call_function("div", y, limb).alias("carry"), F.array_append(acc["out"], y % limb).alias("out")))
+
+        start = F.struct(F.lit(0).cast("long").alias("carry"), F.array().cast("array<long>").alias("out"))
+        return F.aggregate(
+            limbs, start, one, lambda acc: F.when(acc["carry"] > 0, F.array_append(acc["out"], acc["carry"])).otherwise(acc["out"])
+        )
+
+    def digits(e):
+        m = (a / F.pow(F.lit(2.0), e)).cast("long")
+        powers = F.transform(F.sequence(F.lit(0), e, F.lit(13)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), F.least(F.lit(13), e - i)))
+        limbs = F.aggregate(powers, F.array(m % limb, F.call_function("div", m, limb)), times)
+        whole = F.array_join(F.transform(F.reverse(limbs), lambda x: F.lpad(x.cast("string"), 14, "0")), "")
+        return F.regexp_replace(whole, "^0+", "")
+
+    return let((F.floor(F.log2(a)) - 53).cast("int"), digits)
+
+
 def _whole_digits(a: Column) -> Column:
-    """The digits of the whole part of a positive double, exactly, up to 2^115."""
+    """The digits of the whole part of a positive double, exactly; `inf` if it is infinite."""
     step = float(2**53)
     high = F.floor(a / step)
     wide = high.cast("decimal(19,0)") * F.lit(2**53).cast("decimal(16,0)") + F.floor(a - high * step).cast("decimal(16,0)")
     return (
         F.when(a < float(2**62), F.floor(a).cast("string"))
         .when(a < float(2**115), wide.cast("string"))
-        .otherwise(F.format_string("%.0f", a))
+        .when(a < float("inf"), _huge_digits(a))
+        .otherwise("inf")
     )
 
 
@@ -119,7 +151,7 @@ def _cents(a: Column) -> Column:
 def round_cents(c: Column) -> Column:
     """A double rounded to two decimals as Python does, as text such as -12.50.
 
-    One exact path for every finite double up to 2^115; from 2^53 on doubles are whole.
+    Exact for every finite double; from 2^53 on doubles are whole.
     """
     a = F.abs(c)
     sign = F.when(c < 0, "-").otherwise("")
@@ -192,11 +224,14 @@ def _six_digits(c: Column) -> Column:
 
 
 def number_variants(c: Column) -> Column:
-    """Spellings of an amount: two decimals, grouped, shortest, whole, and European."""
+    """Spellings of an amount: two decimals, grouped, shortest, whole, and European.
+
+    An infinite amount, which too many digits read as, and NaN have one spelling each.
+    """
 
     def spell(s):
         fixed, whole = s["fixed"], F.regexp_extract(s["fixed"], r"^(.*)\.00$", 1)
-        is_whole = c == F.floor(c)
+        is_whole = c == F.rint(c)
         return F.array_compact(
             F.array(
                 fixed,
@@ -212,4 +247,5 @@ def number_variants(c: Column) -> Column:
         plain,
         lambda p: F.array_distinct(F.concat(p, F.transform(p, lambda s: F.translate(s, ",.", ".,")))),
     )
-    return F.when(c.isNotNull(), forms)
+    endless = F.when(F.isnan(c), "nan").when(c > 0, "inf").otherwise("-inf")
+    return F.when(F.abs(c) < float("inf"), forms).when(c.isNotNull(), F.array(endless))

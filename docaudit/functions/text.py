@@ -133,20 +133,11 @@ def money(c: Column) -> Column:
     return F.format_string("%,.2f", c.cast("double"))
 
 
-def exact_sum(c: Column) -> Column:
-    """Order-independent sum of a double column.
-
-    Every value is parted, without loss, into a multiple of 2^50 and the rest; both parts
-    are summed as decimals, so that partition order cannot change a digit. The rest keeps
-    ten decimals. A value beyond 1e53, and NaN, end the run with an error.
-    """
-    unit = float(2**50)
-    cut = F.when(c < 0, F.ceil(c / unit)).otherwise(F.floor(c / unit)).cast("decimal(38,0)")
-    # from 2^103 on every double is a multiple of the unit
-    units = F.when(F.abs(c) < float(2**103), cut).otherwise((c / unit).cast("decimal(38,0)"))
-    rest = (c - units.cast("double") * unit).cast("decimal(28,10)")
-    return F.sum(units).cast("double") * unit + F.sum(rest).cast("double")
-
-
 def close_to(a: Column, b: Column) -> Column:
     return F.abs(a - b) <= V.AMOUNT_TOLERANCE
+
+
+def apart(a: Column, b: Column) -> Column:
+    """Further apart than the tolerance. Infinite amounts are apart from all others; where the
+    difference is no number, nothing can be said against the values."""
+    return (F.abs(a - b) > V.AMOUNT_TOLERANCE) & ~F.isnan(a - b)

@@ -16,31 +16,34 @@ from ..functions import fixed_values as V
 from ..functions.text import strip
 from ..schemas import DOCUMENTS, HEADER_FIELDS, VALIDATION_ERRORS
 from ..session import settled
+from .lookup import LOOKUP_KEYS, rows_of
 from .ranking import number_rows
 from .rules import revalidate, verdicts
 
 c = F.col
 
 
-def assign_ids(rows: DataFrame, existing: DataFrame, order: list[Column]) -> DataFrame:
-    """`id` = highest existing id + place in `order`."""
-    highest = existing.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+def assign_ids(rows: DataFrame, existing: DataFrame, order: list[Column], highest: int | None = None) -> DataFrame:
+    """`id` = highest existing id + place in `order`; `highest` saves looking for it."""
+    highest = existing.agg(F.coalesce(F.max("id"), F.lit(0))).scalar() if highest is None else F.lit(highest)
     numbered = number_rows(rows, [], order, "__no")
     return numbered.withColumn("id", (highest + c("__no")).cast("long")).drop("__no")
 
 
 # --- C1 -----------------------------------------------------------------------------
 
-def reserve(docs: DataFrame, incoming: DataFrame, now: str, skip_duplicates: bool = True) -> tuple[DataFrame, DataFrame]:
+def reserve(
+    docs: DataFrame, incoming: DataFrame, now: str, skip_duplicates: bool = True, highest: int | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Admit uploads (arrival, filename, file_hash, stored_path).
 
     Returns the new PROCESSING rows and an outcome per upload. With `skip_duplicates` a
     hash held by a document that has not failed points to the newest such document, and
     the first arrival of a new hash wins within the batch. Uploads without a hash are like no
-    other and are all admitted.
+    other and are all admitted. `highest` is the highest id so far, where the caller knows it.
     """
     if not skip_duplicates:
-        fresh = assign_ids(incoming, docs, [c("arrival")])
+        fresh = assign_ids(incoming, docs, [c("arrival")], highest)
         outcomes = fresh.select(
             "arrival", "filename", c("id").alias("document_id"), F.lit(V.PROCESSING).alias("status"),
             F.lit(False).alias("skipped"), F.lit("").alias("message"),
@@ -60,7 +63,7 @@ def reserve(docs: DataFrame, incoming: DataFrame, now: str, skip_duplicates: boo
         .select("__content", "f.*")
         .join(held.select(c("file_hash").alias("__content")), "__content", "left_anti")
     )
-    fresh = assign_ids(first, docs, [c("arrival")])
+    fresh = assign_ids(first, docs, [c("arrival")], highest)
     resolved = held.withColumnRenamed("file_hash", "__content").withColumn("by", F.lit(None).cast("long")).unionByName(
         fresh.select("__content", "id", F.lit(V.PROCESSING).alias("status"), c("arrival").cast("long").alias("by"))
     )
@@ -73,6 +76,17 @@ def reserve(docs: DataFrame, incoming: DataFrame, now: str, skip_duplicates: boo
     return _processing(fresh, now), outcomes
 
 
+def reserve_few(docs: DataFrame, incoming: DataFrame, now: str, highest: int) -> tuple[DataFrame, DataFrame]:
+    """C1 for a call of at most LOOKUP_KEYS uploads: only stored documents with their hashes are read.
+
+    On tables written for look-ups these are few row groups. More uploads are refused: `reserve`
+    joins them with all documents.
+    """
+    given = incoming.select("file_hash").filter(c("file_hash").isNotNull()).distinct().limit(LOOKUP_KEYS + 1)
+    hashes = [r[0] for r in given.collect()]
+    return reserve(rows_of(docs, "file_hash", hashes), incoming, now, highest=highest)
+
+
 def _processing(fresh: DataFrame, now: str) -> DataFrame:
     given = {"status": F.lit(V.PROCESSING), "created_at": F.lit(now), "updated_at": F.lit(now), "page_count": F.lit(0)}
     have = {"id", "filename", "file_hash", "stored_path"}

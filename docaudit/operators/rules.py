@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions.cells import has_quantity_text
 from ..functions.dates import parse_date
-from ..functions.text import exact_sum, money
+from ..functions.text import apart, money
 from ..schemas import HEADER_FIELDS
 from .grounding import grounding_check
 from .issues import dedupe_issues, issue, issue_rows
+from .totals import exact_sums
 
 c = F.col
-TOL = V.AMOUNT_TOLERANCE
 
 
 def stored_items(items: DataFrame) -> DataFrame:
@@ -43,12 +43,11 @@ def item_totals(items: DataFrame) -> DataFrame:
     both = c("quantity").isNotNull() & c("unit_price").isNotNull()
     either = c("quantity").isNotNull() | c("unit_price").isNotNull()
     pos = c("position").cast("decimal(19,0)")
-    return items.groupBy("document_id").agg(
+    return exact_sums(
+        items, ["document_id"], {"amounts": c("amount"), "taxes": c("tax")},
         F.count("*").alias("n"),
         F.count_if(both).alias("priced"),
         F.count_if(either).alias("half_priced"),
-        exact_sum(c("amount")).alias("amounts"),
-        exact_sum(c("tax")).alias("taxes"),
         F.count("position").alias("numbered"),
         F.min("position").alias("low"),
         F.max("position").alias("high"),
@@ -95,7 +94,7 @@ def _amounts() -> Column:
 
 
 def _item_sum() -> list[Column]:
-    off = F.abs(_amounts() - c("subtotal")) > TOL
+    off = apart(_amounts(), c("subtotal"))
     text = F.format_string("item amounts sum to %s, subtotal is %s", money(_amounts()), money(c("subtotal")))
     return [issue(_has_items() & off, "R6", "line_items", text, rule=6)]
 
@@ -114,12 +113,12 @@ def _effective_tax() -> Column:
 def _total() -> list[Column]:
     expected = c("subtotal") + _effective_tax() + F.coalesce(c("shipping"), F.lit(0.0))
     text = F.format_string("subtotal + tax + shipping = %s, total is %s", money(expected), money(c("total_amount")))
-    return [issue(F.abs(expected - c("total_amount")) > TOL, "R15", "total_amount", text, rule=15)]
+    return [issue(apart(expected, c("total_amount")), "R15", "total_amount", text, rule=15)]
 
 
 def _bare_total() -> list[Column]:
     bare = c("subtotal").isNull() & c("tax").isNull() & c("shipping").isNull()
-    off = F.abs(_amounts() - c("total_amount")) > TOL
+    off = apart(_amounts(), c("total_amount"))
     text = F.format_string("item amounts sum to %s, total is %s, and nothing else is stated",
                            money(_amounts()), money(c("total_amount")))
     return [issue(_has_items() & bare & off, "R16", "total_amount", text, "warning", rule=16)]
@@ -163,7 +162,7 @@ def row_rules() -> dict[str, Column]:
     return {
         "R10": _row_issue(c("amount").isNull(), "R10", F.lit("amount is empty and missing from the sum")),
         "R11": _row_issue(c("amount").isNotNull() & half, "R11", F.concat(which, F.lit(" is empty, the amount cannot be checked")), "warning"),
-        "R13": _row_issue(full & (F.abs(product - c("amount")) > TOL), "R13",
+        "R13": _row_issue(full & apart(product, c("amount")), "R13",
                           F.format_string("quantity x unit price = %s, amount is %s", money(product), money(c("amount")))),
         "R14": _row_issue(full & (c("quantity") <= 0), "R14",
                           F.format_string("quantity is %s", c("quantity").cast("string")), sub=1),

@@ -13,8 +13,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.text import exact_sum, status_label
+from ..functions.text import status_label
+from ..operators.lookup import rows_of
 from ..operators.ranking import number_rows
+from ..operators.totals import exact_sums
 from ..schemas import HEADER_FIELDS
 
 LIST_COLUMNS = [
@@ -94,7 +96,7 @@ def arithmetic_mismatches(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def items_vs_totals(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Q7: item sum beside the stated totals; a NULL total gives a NULL difference."""
-    sums = items.groupBy(F.col("document_id").alias("id")).agg(exact_sum(F.col("amount")).alias("item_sum"))
+    sums = exact_sums(items.select(F.col("document_id").alias("id"), "amount"), ["id"], {"item_sum": F.col("amount")})
     parts = [F.coalesce(F.col(c), F.lit(0.0)) for c in ("subtotal", "tax", "shipping")]
     return (
         docs.select("id", "filename", "subtotal", "tax", "shipping", "total_amount")
@@ -134,16 +136,19 @@ def review_history(docs: DataFrame, errors: DataFrame) -> DataFrame:
 
 def vendor_summary(docs: DataFrame) -> DataFrame:
     """Q11: approved documents per vendor; dates compare as text."""
+    approved = docs.filter(F.col("status") == V.VALIDATED).select(
+        F.col("vendor_name").isNull().alias("unknown"), F.coalesce("vendor_name", F.lit("")).alias("vendor_name"),
+        "issue_date", "total_amount",
+    )
     return (
-        docs.filter(F.col("status") == V.VALIDATED)
-        .groupBy("vendor_name")
-        .agg(
+        exact_sums(
+            approved, ["unknown", "vendor_name"], {"total": F.col("total_amount")},
             F.count("*").alias("n"),
-            exact_sum(F.col("total_amount")).alias("total"),
             F.min("issue_date").alias("first_issue"),
             F.max("issue_date").alias("last_issue"),
         )
-        .withColumn("vendor_name", F.coalesce(F.col("vendor_name"), F.lit(V.UNKNOWN_VENDOR)))
+        .withColumn("vendor_name", F.when(F.col("unknown"), V.UNKNOWN_VENDOR).otherwise(F.col("vendor_name")))
+        .select("vendor_name", "n", "total", "first_issue", "last_issue")
         .orderBy(F.desc("total"), "vendor_name")
     )
 
@@ -212,6 +217,14 @@ def document_detail(docs: DataFrame, items: DataFrame, errors: DataFrame) -> dic
     }
 
 
+def detail_of(tables: dict[str, DataFrame], ids: list[int]) -> dict[str, DataFrame]:
+    """Q15 for a call of a few documents: on tables written for look-ups, few row groups are read."""
+    return document_detail(
+        rows_of(tables["documents"], "id", ids), rows_of(tables["line_items"], "document_id", ids),
+        rows_of(tables["validation_errors"], "document_id", ids),
+    )
+
+
 def review_queue(docs: DataFrame) -> DataFrame:
     """Q17: documents waiting for a person."""
     return (

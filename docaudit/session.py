@@ -18,6 +18,8 @@ _SETTINGS = {
     "spark.sql.analyzer.maxIterations": "1000",
     # children hashed on document_id already satisfy (document_id, ...) groupings
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # a look-up of up to so many keys asks every row group for each of them
+    "spark.sql.parquet.pushdown.inFilterThreshold": "1000",
 }
 
 
