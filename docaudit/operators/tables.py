@@ -287,23 +287,188 @@ def candidate_mappings(shapes: Column) -> Column:
     return F.when((F.size(num) >= 2) & (F.size(texts) > 0), every).otherwise(F.array().cast(f"array<{MAPPING}>"))
 
 
+def _allowed(shapes: Column) -> Column:
+    """struct<p, a, q: column indexes that may be price, amount, quantity; d: the description>."""
+    num = F.filter(shapes, lambda s: s["num"])
+    texts = F.filter(shapes, lambda s: ~s["num"] & (s["len"] >= 3))
+    counted = F.exists(shapes, lambda s: s["unit"])
+    unmarked = F.transform(F.filter(num, lambda s: ~s["unit"]), lambda s: s["i"])
+    quantities = F.transform(F.filter(num, lambda q: ~q["money"] & (~counted | q["unit"])), lambda s: s["i"])
+    enough = (F.size(num) >= 2) & (F.size(texts) > 0)
+    return F.when(enough, F.struct(
+        unmarked.alias("p"), unmarked.alias("a"), quantities.alias("q"), _longest(texts).alias("d"),
+        F.transform(num, lambda s: s["i"]).alias("n"), F.size(shapes).cast("long").alias("w"),
+    ))
+
+
+_BIN = 0.05
+"""Amounts are looked up in bins wider than twice the tolerance, so that a product meets two bins."""
+_MARGIN = 0.021
+_FINE = 1e12
+"""Beyond, doubles lie too far apart for the margin, and a product is compared with all amounts."""
+
+
+def _by_amount(values: Column, allowed: Column) -> Column:
+    """struct<bins, places>: the columns of each bin of amounts of a row, and all of them."""
+    found = F.filter(allowed, lambda a: F.get(values, a).isNotNull())
+    bin_of = lambda a: F.floor(F.get(values, a) / _BIN)
+    return let(
+        F.array_distinct(F.transform(found, bin_of)),
+        lambda bins: F.struct(
+            F.map_from_arrays(bins, F.transform(bins, lambda b: F.filter(found, lambda a: bin_of(a) == b))).alias("bins"),
+            found.alias("places"),
+        ),
+    )
+
+
+def _matches(product: Column, row: Column) -> Column:
+    """The columns whose amount a product agrees with."""
+    low, high = F.floor((product - _MARGIN) / _BIN), F.floor((product + _MARGIN) / _BIN)
+    at = lambda b: F.coalesce(F.try_element_at(row["by"]["bins"], b), F.array().cast("array<int>"))
+    binned = F.when(low == high, at(low)).otherwise(F.concat(at(low), at(high)))
+    near = F.when(F.abs(product) < _FINE, binned).otherwise(row["by"]["places"])
+    return F.filter(near, lambda a: close_to(product, F.get(row["v"], a)))
+
+
+def _code(width: Column, p: Column, a: Column, q: Column) -> Column:
+    """Number of a triple, in the order price, amount, quantity; -1 for no quantity, which comes first."""
+    return (p * width + a) * (width + 1) + q + 1
+
+
+def _decoded(code: Column, allowed: Column) -> Column:
+    width = allowed["w"]
+    base, q = F.call_function("div", code, width + 1), code % (width + 1) - 1
+    return _mapping(d=allowed["d"], p=F.call_function("div", base, width), a=base % width, q=F.when(q >= 0, q))
+
+
+def _all_stated(values: Column, m: Column) -> Column:
+    return F.forall(F.array(m["p"], m["a"], m["q"]), lambda i: F.get(values, i).isNotNull())
+
+
+def _proven(rows: Column, allowed: Column, price: Column) -> Column:
+    """For one price column the triples that some row proves: array<struct<code, ok, n>>.
+
+    `ok` rows prove a triple, and `n` rows hold numbers in its three cells. Rows are counted by
+    sorting the codes of all matches, so the work grows with pairs of columns and with matches.
+    """
+
+    def codes(row):
+        p = F.get(row["v"], price)
+        others = F.filter(allowed["q"], lambda q: (q != price) & F.get(row["v"], q).isNotNull())
+        hits = F.flatten(F.transform(others, lambda q: let(F.get(row["v"], q) * p, lambda product: F.transform(
+            F.filter(_matches(product, row), lambda a: (a != price) & (a != q)), lambda a: _code(allowed["w"], price, a, q)))))
+        return F.when(p.isNotNull(), hits).otherwise(F.array().cast("array<bigint>"))
+
+    def count(found):
+        full = lambda code: let(
+            _decoded(code, allowed), lambda m: F.size(F.filter(rows, lambda r: _all_stated(r["v"], m))))
+        starts = F.filter(_indexes(F.size(found)), lambda i: (i == 0) | (F.get(found, i) != F.get(found, i - 1)))
+        return let(starts, lambda begins: F.transform(begins, lambda i, k: F.struct(
+            F.get(found, i).alias("code"), (F.coalesce(F.get(begins, k + 1), F.size(found)) - i).alias("ok"),
+            full(F.get(found, i)).alias("n"))))
+
+    return let(F.sort_array(F.flatten(F.transform(rows, codes))), count)
+
+
+def _unproven(d: Column, allowed: Column, listed: Column, with_quantity: Column) -> Column:
+    """Candidates that no row proves by its three cells, as array<struct<code, ok, n>>.
+
+    Without a quantity, only pairs that two rows could be repaired for are candidates.
+    """
+    width, none = allowed["w"], F.lit(-1).cast("long")
+
+    def repairable(p, a):
+        cell = lambda r, i: F.get(r["c"], i)["v"]
+        may = lambda r: cell(r, p).isNull() | cell(r, a).isNull() | F.exists(
+            F.get(r["c"], allowed["d"])["e"], lambda n: close_to(n * cell(r, p), cell(r, a)))
+        return F.size(d["odd"]) + F.size(F.filter(d["worded"], may)) >= 2
+
+    def of_amount(p, a):
+        entry = lambda code, n: F.struct(code.alias("code"), F.lit(0).alias("ok"), n.alias("n"))
+        bare = F.when(repairable(p, a), F.array(entry(_code(width, p, a, none), F.lit(0)))).otherwise(
+            F.array().cast("array<struct<code:bigint,ok:int,n:int>>"))
+        full = lambda q: F.size(F.filter(d["plain"], lambda r: _all_stated(r["v"], F.struct(p.alias("p"), a.alias("a"), q.alias("q")))))
+        others = F.filter(allowed["q"], lambda q: (q != p) & (q != a) & ~F.array_contains(listed, _code(width, p, a, q)))
+        counted = F.transform(others, lambda q: entry(_code(width, p, a, q), full(q)))
+        return F.concat(bare, F.when(with_quantity, counted).otherwise(F.slice(counted, 1, 0)))
+
+    return F.flatten(F.transform(allowed["p"], lambda p: F.flatten(
+        F.transform(F.filter(allowed["a"], lambda a: a != p), lambda a: of_amount(p, a)))))
+
+
+def best_candidate(rows: Column, shapes: Column, least: Column) -> Column:
+    """Of the candidate mappings (P5) the one of the highest score above `least`, the first on a tie.
+
+    A row that holds numbers in the three cells of a triple counts by them alone, unless its
+    description is a row number. So the triples come from the data (`_proven`). Rows with a cell
+    missing count only where a quantity in their text repairs them; they bound how much a score
+    can gain. Triples are scored on such rows from the highest bound down, until none can win.
+    """
+
+    def choose(allowed):
+        described = lambda r: F.get(r["c"], allowed["d"])
+        data = F.filter(rows, lambda r: ~r["s"])
+        numbered = lambda r: described(r)["k"].isNotNull()
+        values = lambda r: F.transform(r["c"], lambda x: x["v"])
+        whole = lambda r: F.forall(allowed["n"], lambda i: F.get(r["c"], i)["v"].isNotNull())
+
+        def part(unnumbered):
+            worded = F.filter(unnumbered, lambda r: F.coalesce(F.size(described(r)["e"]) > 0, F.lit(False)))
+            plain = F.transform(unnumbered, lambda r: let(values(r), lambda v: F.struct(v.alias("v"), _by_amount(v, allowed["a"]).alias("by"))))
+            return F.struct(
+                F.filter(data, numbered).alias("odd"), worded.alias("worded"), plain.alias("plain"),
+                F.size(F.filter(unnumbered, whole)).alias("complete"), F.size(F.filter(worded, lambda r: ~whole(r))).alias("loose"),
+            )
+
+        return let(let(F.filter(data, lambda r: ~numbered(r)), part), lambda d: weigh(d, allowed))
+
+    def weigh(d, allowed):
+        proven = F.flatten(F.transform(allowed["p"], lambda p: _proven(d["plain"], allowed, p)))
+        return let(proven, lambda found: settle(d, allowed, found))
+
+    def settle(d, allowed, found):
+        spare = F.size(d["odd"]) + d["loose"]
+        bound = lambda ok, n: F.when(n + spare > 0, (ok + spare) / (n + spare)).otherwise(0.0)
+        # without a quantity every row that counts has been repaired to agree
+        hope = lambda x: F.when(x["code"] % (allowed["w"] + 1) == 0, 1.0).otherwise(bound(x["ok"], x["n"]))
+        entry = lambda x: F.struct((-hope(x)).alias("rank"), x["code"].alias("code"), x["ok"].alias("ok"), x["n"].alias("n"))
+        ranked = lambda cands: F.sort_array(F.transform(cands, entry))
+        start = F.struct(_none("double").alias("v"), _none("bigint").alias("code"))
+        by_cells = F.aggregate(ranked(found), start, lambda acc, x: step(acc, x, d, allowed))
+
+        def beyond(best):
+            gain = bound(F.lit(0), d["complete"]) >= F.coalesce(best["v"], least)
+            rest = _unproven(d, allowed, F.transform(found, lambda x: x["code"]), gain)
+            more = F.aggregate(ranked(rest), best, lambda acc, x: step(acc, x, d, allowed))
+            return F.when((F.size(d["worded"]) > 0) | (F.size(d["odd"]) > 0), more).otherwise(best)
+
+        return let(let(by_cells, beyond), lambda b: F.when(b["code"].isNotNull(), _decoded(b["code"], allowed)))
+
+    def step(acc, x, d, allowed):
+        better = lambda v: acc["v"].isNull() | (v > acc["v"]) | ((v == acc["v"]) & (x["code"] < acc["code"]))
+        hope = -x["rank"]
+
+        def on_rest(m):
+            lacking = F.filter(d["worded"], lambda r: ~_all_stated(F.transform(r["c"], lambda y: y["v"]), m))
+            return let(F.concat(d["odd"], lacking), lambda rest: F.when(F.size(rest) > 0, score_mapping(rest, m)).otherwise(
+                F.struct(F.lit(0).alias("n"), F.lit(0).alias("ok"))))
+
+        def judge(s):
+            n, ok = x["n"] + s["n"], x["ok"] + s["ok"]
+            share = F.when(n > 0, ok / n).otherwise(0.0)
+            wins = (n >= 2) & (share > least) & better(share)
+            return F.when(wins, F.struct(share.alias("v"), x["code"].alias("code"))).otherwise(acc)
+
+        return F.when((hope > least) & better(hope), let(let(_decoded(x["code"], allowed), on_rest), judge)).otherwise(acc)
+
+    return let(_allowed(shapes), lambda allowed: F.when(allowed.isNotNull(), choose(allowed)))
+
+
 def best_mapping(header_mapping: Column, rows: Column) -> Column:
     """The header's mapping if the arithmetic agrees, else the best other one."""
 
     def judge(own):
-        def better(cands):
-            scored = F.transform(
-                cands, lambda m: let(score_mapping(rows, m), lambda s: F.struct(m.alias("m"), s["n"].alias("n"), _share(s).alias("v")))
-            )
-            good = F.filter(scored, lambda x: (x["n"] >= 2) & (x["v"] > _share(own)))
-            return let(
-                good,
-                lambda g: let(
-                    F.array_max(F.transform(g, lambda x: x["v"])), lambda top: _first(g, lambda x: x["v"] == top)
-                ),
-            )["m"]
-
-        found = let(column_shapes(rows), lambda s: let(candidate_mappings(s), better))
+        found = let(column_shapes(rows), lambda s: best_candidate(rows, s, _share(own)))
         return F.when((own["n"] > 0) & (_share(own) >= 0.5), header_mapping).otherwise(F.coalesce(found, header_mapping))
 
     return let(score_mapping(rows, header_mapping), judge)

@@ -1,3 +1,8 @@
+import random
+import time
+
+from pyspark.sql import functions as F
+
 from docaudit.operators import tables as tb
 
 HEAD = "| QUANTITY | DESCRIPTION | UNIT PRICE | TOTAL |\n|---|---|---|---|\n"
@@ -41,3 +46,69 @@ def test_partitioning_does_not_matter(spark):
     docs = spark.createDataFrame([(k, v[0]) for k, v in CASES.items()], "document_id long, markdown string")
     one = tb.parse_line_items(docs.repartition(1))
     assert one.exceptAll(tb.parse_line_items(docs.repartition(4))).count() == 0
+
+
+def _brute_best(rows, header):
+    """The winner among all candidates, each scored over all rows (P5-P7 as stated)."""
+    def judge(own):
+        scored = F.transform(
+            tb.candidate_mappings(tb.column_shapes(rows)),
+            lambda m: tb.let(tb.score_mapping(rows, m), lambda s: F.struct(m.alias("m"), s["n"].alias("n"), tb._share(s).alias("v"))))
+        good = F.filter(scored, lambda x: (x["n"] >= 2) & (x["v"] > tb._share(own)))
+        top = F.array_max(F.transform(good, lambda x: x["v"]))
+        found = tb._first(good, lambda x: x["v"] == top)["m"]
+        return F.when((own["n"] > 0) & (tb._share(own) >= 0.5), header).otherwise(F.coalesce(found, header))
+
+    return tb.let(tb.score_mapping(rows, header), judge)
+
+
+def _random_table(rng):
+    """Columns in a random order, some of them products, with holes, marks, numbers and quantities in texts."""
+    width, height = rng.randint(3, 6), rng.randint(2, 7)
+    small = rng.random() < 0.5
+    lines = []
+    for _ in range(height):
+        q, p = rng.randint(1, 5 if small else 30), rng.choice([1.0, 2.0, 2.5, 0.0, round(rng.uniform(0, 99), 2)])
+        name = rng.choice(["red anvil", "Bolts ({q})", "Rope x {q}", "Rods qty {q}", "big gear ({q}) {p}", "7", "12.", "long description"]).format(q=q, p=p)
+        cells = [name, f"{q}", f"{p}", f"{q * p:.2f}" if rng.random() < 0.85 else "3.00"]
+        cells += [rng.choice(["1", "2.00", f"{q * p:.2f}", f"{p}", "", "x"]) for _ in range(width - 3)]
+        cells = [("" if rng.random() < 0.12 else c) for c in cells]
+        if rng.random() < 0.1:
+            cells[2] = name + f" {p}"
+        lines.append(cells)
+    if rng.random() < 0.3:
+        lines = [[c[0], c[1] + " pcs.", *c[2:]] for c in lines]
+    if rng.random() < 0.3:
+        lines = [[*c[:2], "$" + c[2], "$" + c[3], *c[4:]] for c in lines]
+    order = rng.sample(range(len(lines[0])), len(lines[0]))
+    return [[c[i] for i in order] for c in lines]
+
+
+def test_best_mapping_equals_scoring_all_candidates(spark):
+    rng = random.Random(12)
+    tables = [_random_table(rng) for _ in range(400)]
+    data = [(i, t, {"d": 0, "p": 1, "t": None, "a": 2, "q": None}) for i, t in enumerate(tables)]
+    df = spark.createDataFrame(data, f"i int, t array<array<string>>, h {tb.MAPPING}").repartition(8)
+    df = df.select("i", F.transform("t", tb._typed_row).alias("r"), "h")
+    both = df.select("i", tb.best_mapping(F.col("h"), F.col("r")).alias("got"), _brute_best(F.col("r"), F.col("h")).alias("want")).collect()
+    assert [(r.i, r.got, r.want) for r in both if r.got != r.want] == []
+    assert len({r.got for r in both}) > 20
+
+
+def test_wide_tables_take_seconds(spark):
+    """30 columns and 500 rows under misleading names."""
+    rng = random.Random(13)
+    names = ["Total", "Price", "Description"] + [f"c{i}" for i in range(27)]
+    lines = []
+    for _ in range(500):
+        q, p = rng.randint(1, 40), round(rng.uniform(1, 500), 2)
+        cells = [f"{rng.uniform(1, 9999):.2f}" for _ in range(30)]
+        cells[2], cells[11], cells[17], cells[25] = "long description of a thing", f"{p}", f"{q}", f"{q * p:.2f}"
+        lines.append("| " + " | ".join(cells) + " |")
+    md = "| " + " | ".join(names) + " |\n" + "|--" * 30 + "|\n" + "\n".join(lines)
+    docs = spark.createDataFrame([(1, md)], "document_id long, markdown string")
+    started = time.time()
+    got = tb.parse_line_items(docs).collect()
+    assert time.time() - started < 60
+    first = lines[0].strip("| ").split(" | ")
+    assert len(got) == 500 and (got[0].unit_price, got[0].quantity, got[0].amount) == (float(first[11]), float(first[17]), float(first[25]))
