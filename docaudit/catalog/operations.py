@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..functions import fixed_values as V
 from ..operators import lifecycle as lc
+from ..operators import rules as ru
 from ..operators import tickets as tk
 from ..plans import audit
 from ..schemas import DOCUMENTS, TICKET, VALIDATION_ERRORS
@@ -14,6 +15,7 @@ from ..session import shared_dir
 from ..sources import files as fl
 from ..sources import tables as st
 from ..streaming import intake as si
+from . import rules
 from .adapters import sql
 from .extraction import raw_headers, raw_items
 
@@ -164,20 +166,27 @@ def batch(spark, sf):
 
     Every 50th has no text. Every 49th header lacks its fields, every 47th is no text. Every 20th
     text has no table, and then the items come from an answer that is whole, cut off, empty,
-    absent or of another shape in turn. Every 31st upload has no hash.
+    absent or of another shape in turn. Every 20th has its later rows scattered over the page, and
+    every 20th an answer to the probe for an order number. Every 31st upload has no hash.
     """
-    docs = fx.md_paged(spark, sf).join(
+    scattered = fx.layout_scatter(spark, sf).withColumnRenamed("markdown", "scattered")
+    docs = fx.md_paged(spark, sf).join(scattered, "document_id").join(
         raw_headers(spark, sf).select("document_id", c("markdown").alias("head"), "header_json"), "document_id")
     docs = docs.join(raw_items(spark, sf).withColumnRenamed("items_json", "answer"), "document_id")
     return docs.selectExpr(
         "document_id as arrival", "concat(document_id, '.pdf') as filename",
         "if(document_id % 31 = 0, null, sha2(cast(document_id as string), 256)) as file_hash",
         "concat('/data/uploads/', document_id, '.pdf') as stored_path",
-        "if(document_id % 50 = 0, null, if(document_id % 20 = 3, head, concat(head, '\\n\\n', markdown))) as markdown",
-        "cast(null as string) as docling_json", "cast(1 as int) as page_count",
+        "case when document_id % 50 = 0 then null when document_id % 20 = 3 then head"
+        " when document_id % 20 = 7 then concat(head, '\\n\\n', scattered)"
+        " when document_id % 20 = 9 then concat(head, '\\nOrder AB-', document_id, '\\n\\n', markdown)"
+        " else concat(head, '\\n\\n', markdown) end as markdown",
+        "if(document_id % 20 = 7, docling_json, null) as docling_json", "cast(1 as int) as page_count",
         "case when document_id % 49 = 0 then '{}' when document_id % 47 = 0 then '{\"invoice_number\":5}' else header_json end as header_json",
         "if(document_id % 20 = 3, case document_id div 20 % 5 when 0 then '{}' when 1 then null when 2 then '[]'"
-        " else answer end, null) as items_json", "cast(null as string) as findings_json")
+        " else answer end, null) as items_json",
+        "if(document_id % 20 = 9, to_json(named_struct('findings', array(named_struct('field', 'po_number', 'value',"
+        " concat('AB-', document_id))))), null) as findings_json")
 
 
 def empty_tables(spark):
@@ -208,10 +217,22 @@ def _c15_status(s, d):
         F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("n_unread", F.lit(0)).alias("n_unread"))
 
 
+def _c15_documents(s, d):
+    """What the probe filled and the layout gave, per upload."""
+    tables, done = _batch(s, d)
+    notes = tables["validation_errors"].groupBy("document_id").agg(
+        F.count_if(c("message").contains("recovered from their position")).alias("recovered"),
+        F.count_if(c("message").contains("was empty and filled with") & (c("field") == "po_number")).alias("filled"))
+    return done.select("arrival", c("document_id").alias("id")).join(tables["documents"].select("id", "po_number"), "id").join(
+        notes.withColumnRenamed("document_id", "id"), "id", "left").select(
+        "arrival", "po_number", F.coalesce("recovered", F.lit(0)).alias("recovered"), F.coalesce("filled", F.lit(0)).alias("filled"))
+
+
 def _q16(s, d):
     docs = fx.layout_scatter(s, d).join(D(s, d).drop("markdown", "docling_json").withColumnRenamed("id", "document_id"), "document_id")
     return audit.reparse_diff(docs.withColumnRenamed("document_id", "id"), I(s, d).filter("position <> 2 or document_id % 3 <> 0"), E(s, d), AS_OF).select(
-        "document_id", "items_saved", "errors_saved", "items_now", "recovered", "checked", "checked_ok", "differs")
+        "document_id", "items_saved", "errors_saved", "items_now", "recovered", "checked", "checked_ok", "errors_now", "critical_now",
+        "differs")
 
 
 # --- streams ------------------------------------------------------------------------
@@ -239,14 +260,12 @@ def _st2_table(s, d):
 
 
 def _st3(s, d):
-    from ..operators import rules
-
     stream = si.stream_table(s, d, "orders").select(c("o_orderkey").alias("id"))
 
     def check(rows, number):
         docs = fx.listed_documents(s, d).join(rows, "id", "left_semi")
         items = fx.rule_items(s, d).join(rows.select(c("id").alias("document_id")), "document_id", "left_semi")
-        return rules.assign_status(rules.verdicts(docs, rules.rule_check(docs, items, AS_OF)))
+        return ru.assign_status(ru.verdicts(docs, ru.rule_check(docs, items, AS_OF)))
 
     return si.stream_process(stream, check)
 
@@ -262,7 +281,7 @@ def _st4_timers(s, d):
                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     changes = si.stream_table(s, d, "events").selectExpr(
         "user_id as id", "if(event_type = 'click', 'PROCESSING', 'PENDING') as status", "cast(ts as timestamp) as at")
-    return si.collect_stream(si.stream_stale(changes), "timers").select("id", "status")
+    return si.collect_closed(changes, "at", si.stream_stale, "timers").select("id", "status")
 
 
 def _st5(s, d):
@@ -275,7 +294,7 @@ def _st5(s, d):
 def _st6(kind):
     def run(s, d):
         ev = si.stream_table(s, d, "events").selectExpr("cast(ts as timestamp) as ts", "case when value > 50 then 'critical' else 'warning' end as severity")
-        out = si.collect_stream(si.error_windows(ev, c("ts"), kind), kind)
+        out = si.collect_closed(ev, "ts", lambda events: si.error_windows(events, c("ts"), kind), kind)
         fmt = "yyyy-MM-dd HH:mm:ss"
         return out.select(F.date_format("start", fmt).alias("start_at"), F.date_format("end", fmt).alias("end_at"), "severity", "n")
 
@@ -322,6 +341,7 @@ QUERIES = {
     "c15_batch_outcomes": lambda s, d: _batch(s, d)[1].select("arrival", (c("status") == "FAILED").alias("failed"), "skipped"),
     "c15_batch_items": _c15_items,
     "c15_batch_status": _c15_status,
+    "c15_batch_documents": _c15_documents,
     "q16_reparse_diff": _q16,
     "t1_list_tickets": lambda s, d: tk.list_tickets(tickets(s, d)),
     "t2_ticket_counts": lambda s, d: tk.ticket_counts(tickets(s, d)),
@@ -411,7 +431,7 @@ def _window(size, step):
         SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start_at, strftime(s + INTERVAL {size} HOUR, '%Y-%m-%d %H:%M:%S') AS end_at, severity, count(*) AS n
         FROM (SELECT CASE WHEN value > 50 THEN 'critical' ELSE 'warning' END AS severity,
                      unnest([time_bucket(INTERVAL {step} HOUR, ts, TIMESTAMP '1970-01-01') - k * INTERVAL {step} HOUR for k in range({size // step})]) AS s
-              FROM events) WHERE s + INTERVAL {size} HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY ALL"""
+              FROM events) GROUP BY ALL"""
 
 
 _SESSIONS = """
@@ -420,8 +440,7 @@ _SESSIONS = """
     FROM (SELECT ts, severity, sum(fresh) OVER (PARTITION BY severity ORDER BY ts) AS session
           FROM (SELECT ts, severity, CASE WHEN ts - lag(ts) OVER (PARTITION BY severity ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh
                 FROM (SELECT ts, CASE WHEN value > 50 THEN 'critical' ELSE 'warning' END AS severity FROM events)))
-    GROUP BY severity, session
-    HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
+    GROUP BY severity, session"""
 
 
 ORACLES = {
@@ -512,14 +531,26 @@ ORACLES = {
                              WHEN document_id % 49 = 0 OR document_id % 47 = 0 THEN 'header extraction failed' END AS reason
                  FROM inv_items_exact WHERE document_id IN (SELECT o_orderkey FROM orders) GROUP BY document_id)""",
         "inv_items_exact"),
+    "c15_batch_documents": sql(
+        """SELECT document_id AS arrival, CASE WHEN failed THEN NULL WHEN document_id % 20 = 9 THEN coalesce(po_number, 'AB-' || document_id)
+                  ELSE po_number END AS po_number,
+                  CASE WHEN NOT failed AND document_id % 20 = 7 AND n >= 3 THEN 1 ELSE 0 END AS recovered,
+                  CASE WHEN NOT failed AND document_id % 20 = 9 AND po_number IS NULL THEN 1 ELSE 0 END AS filled
+           FROM (SELECT t.*, po_number, document_id % 50 = 0 OR document_id % 49 = 0 OR document_id % 47 = 0 AS failed
+                 FROM t JOIN inv_documents ON id = document_id)""",
+        "inv_documents", "inv_items_exact", t="SELECT document_id, count(*) AS n FROM inv_items_exact GROUP BY 1"),
     "q16_reparse_diff": sql(
-        """SELECT id AS document_id, coalesce(s, 0) AS items_saved, coalesce(e, 0) AS errors_saved, n AS items_now, greatest(n - 2, 0) AS recovered,
-                  n AS checked, n AS checked_ok, n <> coalesce(s, 0) AS differs
+        """SELECT id AS document_id, coalesce(s, 0) AS items_saved, coalesce(e, 0) AS errors_saved, t.n AS items_now, greatest(t.n - 2, 0) AS recovered,
+                  t.n AS checked, t.n AS checked_ok, coalesce(k, 0) AS errors_now, coalesce(cr, 0) AS critical_now,
+                  t.n <> coalesce(s, 0) AS differs
            FROM inv_documents JOIN t ON t.document_id = id
+           LEFT JOIN (SELECT document_id, count(*) AS k, count(*) FILTER (severity = 'critical') AS cr FROM issues GROUP BY 1) f ON f.document_id = id
            LEFT JOIN (SELECT document_id, count(*) AS s FROM inv_line_items WHERE position <> 2 OR document_id % 3 <> 0 GROUP BY 1) a ON a.document_id = id
            LEFT JOIN (SELECT document_id, count(*) AS e FROM inv_errors GROUP BY 1) b ON b.document_id = id""",
         "inv_documents", "inv_line_items", "inv_items_exact", "inv_errors",
-        t="SELECT document_id, count(*) AS n FROM inv_items_exact GROUP BY 1"),
+        t="SELECT document_id, count(*) AS n FROM inv_items_exact GROUP BY 1",
+        items="SELECT *, CAST(NULL AS DOUBLE) AS tax FROM inv_items_exact", totals=rules.TOTALS,
+        heads=rules.HEADS.format(docs="inv_documents"), issues=" UNION ALL ".join(q for n, q in rules.RULES.items() if n != 7)),
     "t1_list_tickets": sql(
         "SELECT slug, number, status, created_at, section, document_id, section || ' broke' AS summary FROM tickets WHERE status = 'OPEN'",
         tickets=_TICKETS),
@@ -593,12 +624,10 @@ ORACLES = {
     "st6_tumbling_errors": _window(24, 24),
     "st6_sliding_errors": _window(24, 12),
     "st6_session_errors": _SESSIONS,
-    "st4_stream_timers": f"""
+    "st4_stream_timers": """
         SELECT id, 'FAILED' AS status FROM (SELECT id, max(seen) AS seen, arg_max(status, seen) AS status
             FROM (SELECT user_id AS id, ts AS seen, max(CASE WHEN event_type = 'click' THEN 'PROCESSING' ELSE 'PENDING' END) AS status
                   FROM events GROUP BY 1, 2) GROUP BY 1)
-        WHERE status = 'PROCESSING' AND seen + INTERVAL {V.STALE_MINUTES} MINUTE + INTERVAL 1 SECOND <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
+        WHERE status = 'PROCESSING'""",
 }
-from .rules import ORACLES as _RULES  # noqa: E402
-
-ORACLES["st3_stream_validate"] = _RULES["v4_assign_status"]
+ORACLES["st3_stream_validate"] = rules.ORACLES["v4_assign_status"]

@@ -107,12 +107,12 @@ _ITEMS = """
            CASE WHEN document_id % 9 = 0 OR unit_price IS NULL AND document_id % 2 = 0 THEN NULL
                 WHEN position % 7 = 0 THEN -quantity ELSE quantity END AS quantity,
            CASE WHEN document_id % 9 <> 0 THEN unit_price END AS unit_price, amount, CASE WHEN document_id % 4 = 0 THEN 1.25::DOUBLE END AS tax FROM inv_line_items"""
-_TOTALS = """
+TOTALS = """
     SELECT document_id, count(*) AS n, count(*) FILTER (quantity IS NOT NULL AND unit_price IS NOT NULL) AS priced,
            coalesce(CAST(sum(CAST(amount AS DECIMAL(28,4))) AS DOUBLE), 0) AS amounts,
            coalesce(CAST(sum(CAST(tax AS DECIMAL(28,4))) AS DOUBLE), 0) AS taxes
     FROM items GROUP BY document_id"""
-_HEADS = f"""
+HEADS = f"""
     SELECT d.*, coalesce(n, 0) AS n, priced, coalesce(amounts, 0) AS amounts,
            coalesce(tax, CASE WHEN coalesce(taxes, 0) <> 0 THEN taxes END, 0) AS eff_tax,
            {SQL_DATE.format(t='issue_date')} AS d1, {SQL_DATE.format(t='due_date')} AS d2
@@ -130,7 +130,7 @@ def _row(code, severity, where):
 
 
 _BARE = "subtotal IS NULL AND tax IS NULL AND shipping IS NULL"
-_SQL = {
+RULES = {
     1: " UNION ALL ".join(_head("R1", f, "critical", f"coalesce({f}, '') = ''") for f in ("invoice_number", "issue_date", "vendor_name")),
     2: _head("R2", "issue_date", "critical", "coalesce(issue_date, '') <> '' AND d1 IS NULL"),
     3: _head("R3", "due_date", "critical", "coalesce(due_date, '') <> '' AND d2 IS NULL"),
@@ -151,7 +151,7 @@ _SQL = {
     16: _head("R16", "total_amount", "warning", f"n > 0 AND {_BARE} AND abs(amounts - total_amount) > 0.02"),
     17: " UNION ALL ".join(_head("R17", f, "critical", f"{f} < 0") for f in ("subtotal", "tax", "shipping", "total_amount")),
 }
-_ALL = " UNION ALL ".join(_SQL.values())
+_ALL = " UNION ALL ".join(RULES.values())
 _ALL_LISTED = _ALL + " UNION ALL " + _head("R9", "line_items", "critical", "n > 0 AND id % 7 = 0")
 _MESSAGES = """
     SELECT 'R7' AS code, document_id, 'quantity and price stand in the description of items '
@@ -165,7 +165,7 @@ _MESSAGES = """
 
 
 def _with(body, heads_of="inv_documents", **extra):
-    return sql(body, "inv_documents", "inv_line_items", items=_ITEMS, totals=_TOTALS, **extra, heads=_HEADS.format(docs=heads_of))
+    return sql(body, "inv_documents", "inv_line_items", items=_ITEMS, totals=TOTALS, **extra, heads=HEADS.format(docs=heads_of))
 
 
 # documents with texts (see fixtures.ground_docs)
@@ -238,7 +238,7 @@ _VERDICT = """
     FROM {docs} LEFT JOIN (SELECT document_id, count(*) AS k, count(*) FILTER (severity = 'critical') AS cr
                            FROM issues GROUP BY 1) ON document_id = id"""
 
-ORACLES = {f"r{n}_rule": _with(q) for n, q in _SQL.items() if n != 7}
+ORACLES = {f"r{n}_rule": _with(q) for n, q in RULES.items() if n != 7}
 ORACLES |= {
     "r7_collapsed_columns": sql(
         """SELECT document_id, 'R7' AS code, 'line_items' AS field, 'critical' AS severity, 'rule' AS source,
