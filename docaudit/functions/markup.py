@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import zlib
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -14,9 +15,25 @@ from .text import let, strip
 _TOKEN = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 
 
+_BUCKETS = 1024
+
+
 def _entities() -> Column:
-    """Named entities as a constant map, taken from the Python standard library."""
-    return F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    """Named entities as a constant, taken from the Python standard library.
+
+    A map is searched from its first key on, so the names are dealt by their checksum into
+    buckets of a few names each.
+    """
+    buckets: list[dict[str, str]] = [{} for _ in range(_BUCKETS)]
+    for name, text in html5.items():
+        buckets[zlib.crc32(name.encode()) % _BUCKETS][name] = text
+    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,string>>")
+
+
+def _named(names: Column, name: Column) -> Column:
+    """The characters of an entity, NULL if there is none of that name."""
+    bucket = F.pmod(F.crc32(name.cast("binary")), F.lit(_BUCKETS)).cast("int")
+    return F.try_element_at(F.get(names, bucket), name)
 
 
 def _windows_1252() -> Column:
@@ -53,19 +70,19 @@ def _decode_piece(piece: Column, names: Column) -> Column:
         # names that are also valid without their semicolon may be a mere prefix
         lengths = F.filter(
             F.sequence(F.least(F.length(token) - 1, F.lit(8)), F.lit(2), F.lit(-1)),
-            lambda n: F.map_contains_key(names, F.substr(token, F.lit(1), n)),
+            lambda n: _named(names, F.substr(token, F.lit(1), n)).isNotNull(),
         )
         prefix = let(
             F.when(F.length(token) > 2, F.get(lengths, F.lit(0))),
             lambda n: F.concat(
-                F.try_element_at(names, F.substr(token, F.lit(1), n)), F.substr(token, n + 1, F.length(token))
+                _named(names, F.substr(token, F.lit(1), n)), F.substr(token, n + 1, F.length(token))
             ),
         )
         rest = F.substr(piece, F.length(token) + 1, F.length(piece))
         return F.concat(
             F.when(token == "", "&")
             .when(token.startswith("#"), _code_point(token))
-            .otherwise(F.coalesce(F.try_element_at(names, token), prefix, F.concat(F.lit("&"), token))),
+            .otherwise(F.coalesce(_named(names, token), prefix, F.concat(F.lit("&"), token))),
             rest,
         )
 

@@ -277,8 +277,9 @@ def apply_probe(docs: DataFrame, items: DataFrame, findings: DataFrame) -> tuple
 def dropped_text(docs: DataFrame, text_layer: DataFrame) -> DataFrame:
     """Lines of the text layer that the Markdown lost: (document_id, pos, line) (H7).
 
-    The lines not found as a whole are compared by their words; all words the document
-    does not know are collected once, so no line is held against the whole text twice.
+    A line is lost if the document neither holds it as a whole nor knows all its words. The
+    words come first: those that the document does not know are collected once, and only a line
+    with such a word, or without any, is searched in the whole text.
     """
     pdf = F.lower(c("path")).rlike(r"\.pdf$")
     pairs = docs.select("document_id", "markdown").join(text_layer.filter(pdf), "document_id")
@@ -287,7 +288,8 @@ def dropped_text(docs: DataFrame, text_layer: DataFrame) -> DataFrame:
     def lost(hay):
         lines = F.transform(text_lines(c("raw_text")), strip)
         keyed = F.transform(lines, lambda x, i: F.struct(i.alias("pos"), x.alias("line"), flatten_markup(x).alias("key")))
-        worth = lambda x: (F.length(x["line"]) >= 3) & x["line"].rlike(r"(?U)[\p{L}\p{N}]") & ~F.contains(hay, x["key"])
+        worth = lambda x: (F.length(x["line"]) >= 3) & x["line"].rlike(r"(?U)[\p{L}\p{N}]")
+        missing = lambda x: ~F.contains(hay, x["key"])
 
         def by_words(cands):
             unknown = F.array_except(F.flatten(F.transform(cands, lambda x: words(x["key"]))), words(hay))
@@ -295,7 +297,7 @@ def dropped_text(docs: DataFrame, text_layer: DataFrame) -> DataFrame:
                 unknown,
                 lambda u: F.filter(
                     cands,
-                    lambda x: let(words(x["key"]), lambda w: (F.size(w) == 0) | F.arrays_overlap(w, u)),
+                    lambda x: let(words(x["key"]), lambda w: (F.size(w) == 0) | F.arrays_overlap(w, u)) & missing(x),
                 ),
             )
 

@@ -246,9 +246,17 @@ def build_item(cells: Column, m: Column) -> Column:
 
 # --- P5-P9 --------------------------------------------------------------------------
 
+def _built(rows: Column, m: Column) -> Column:
+    """The item of every row but the summary rows, NULL where a row is none."""
+    return F.transform(F.filter(rows, lambda r: ~r["s"]), lambda r: build_item(r["c"], m))
+
+
 def score_mapping(rows: Column, m: Column) -> Column:
     """struct<n, ok>: rows that can be checked under a mapping, and those that check out."""
-    items = F.transform(F.filter(rows, lambda r: ~r["s"]), lambda r: build_item(r["c"], m))
+    return _score(_built(rows, m))
+
+
+def _score(items: Column) -> Column:
     full = F.filter(items, lambda x: x["q"].isNotNull() & x["p"].isNotNull() & x["a"].isNotNull())
     return let(
         full,
@@ -466,12 +474,21 @@ def best_candidate(rows: Column, shapes: Column, least: Column) -> Column:
 
 def best_mapping(header_mapping: Column, rows: Column) -> Column:
     """The header's mapping if the arithmetic agrees, else the best other one."""
+    return _settled_mapping(header_mapping, rows)["m"]
+
 
-    def judge(own):
-        found = let(column_shapes(rows), lambda s: best_candidate(rows, s, _share(own)))
-        return F.when((own["n"] > 0) & (_share(own) >= 0.5), header_mapping).otherwise(F.coalesce(found, header_mapping))
+def _settled_mapping(header_mapping: Column, rows: Column) -> Column:
+    """struct<m, items>: the mapping, and the items of all rows where they were built for its score."""
 
-    return let(score_mapping(rows, header_mapping), judge)
+    def judge(items):
+        def choose(own):
+            found = let(column_shapes(rows), lambda s: best_candidate(rows, s, _share(own)))
+            other = F.when(~((own["n"] > 0) & (_share(own) >= 0.5)), found)
+            return let(other, lambda o: F.struct(F.coalesce(o, header_mapping).alias("m"), F.when(o.isNull(), items).alias("items")))
+
+        return let(_score(items), choose)
+
+    return let(_built(rows, header_mapping), judge)
 
 
 def infer_mapping(rows: Column) -> Column:
@@ -518,7 +535,13 @@ def single_amount_mapping(rows: Column) -> Column:
 
 # --- P10, P11 -----------------------------------------------------------------------
 
-STEP = f"struct<m:{MAPPING},header:boolean>"
+STEP = f"struct<m:{MAPPING},header:boolean,items:array<{ITEM}>>"
+"""A table's mapping, whether its first row is a header, and its items if its score has built them."""
+
+
+def _step(m: Column, header: bool, items: Column | None = None) -> Column:
+    built = _none(f"array<{ITEM}>") if items is None else items.cast(f"array<{ITEM}>")
+    return F.struct(m.alias("m"), F.lit(header).alias("header"), built.alias("items"))
 
 
 def own_mappings(tables: Column) -> Column:
@@ -530,8 +553,8 @@ def own_mappings(tables: Column) -> Column:
         def by_header(hm):
             named = hm["d"].isNotNull() & hm["a"].isNotNull()
             priced = hm["p"].isNotNull() & hm["a"].isNull() & (F.size(data) >= 2)
-            step = lambda m: F.struct(m.alias("m"), F.lit(True).alias("header"))
-            return F.when(named, step(best_mapping(hm, data))).when(priced, step(single_amount_mapping(data)))
+            by_score = let(_settled_mapping(hm, data), lambda x: _step(x["m"], True, x["items"]))
+            return F.when(named, by_score).when(priced, _step(single_amount_mapping(data), True))
 
         return let(map_columns(F.transform(first, lambda x: x["t"])), by_header)
 
@@ -549,12 +572,9 @@ def resolve_fragments(tables: Column, own: Column) -> Column:
         first = F.get(table, F.lit(0))["c"]
         width = F.greatest(*[active[k] for k in "dptaq"]) + 1
         continues = F.coalesce(F.get(first, active["a"])["d"], F.lit(False)) & (F.size(first) == width)
-        proven = let(
-            score_mapping(table, active),
-            lambda s: F.when((s["n"] > 0) & (_share(s) >= 0.5), active).otherwise(infer_mapping(table)),
-        )
-        step = lambda m: F.struct(m.alias("m"), F.lit(False).alias("header"))
-        return F.when(active.isNull(), _none(STEP)).when(continues, step(active)).otherwise(step(proven))
+        proven = let(_built(table, active), lambda items: let(_score(items), lambda s: F.when(
+            (s["n"] > 0) & (_share(s) >= 0.5), _step(active, False, items)).otherwise(_step(infer_mapping(table), False))))
+        return F.when(active.isNull(), _none(STEP)).when(continues, _step(active, False)).otherwise(proven)
 
     def fold(acc, x):
         step = F.when(x["own"].isNotNull(), x["own"]).otherwise(inherit(acc["active"], x["table"]))
@@ -589,9 +609,13 @@ def merge_spilled_text(rows: Column, m: Column) -> Column:
         return F.when(F.size(spill) == 0, rows).otherwise(F.transform(rows, one))
 
     outside = F.filter(column_shapes(rows, marks=False), lambda s: ~_used(m, s["i"]) & ~s["num"] & (s["len"] > 0))
+    return F.when(_unmapped(rows, m), let(F.transform(outside, lambda s: s["i"]), merge)).otherwise(rows)
+
+
+def _unmapped(rows: Column, m: Column) -> Column:
+    """Some column lies outside of the mapping."""
     width = F.array_max(F.transform(rows, lambda r: F.size(r["c"])))
-    unmapped = F.exists(_indexes(F.coalesce(width, F.lit(0))), lambda i: ~_used(m, i))
-    return F.when(unmapped, let(F.transform(outside, lambda s: s["i"]), merge)).otherwise(rows)
+    return F.exists(_indexes(F.coalesce(width, F.lit(0))), lambda i: ~_used(m, i))
 
 
 # --- P13-P15 ------------------------------------------------------------------------
@@ -650,22 +674,16 @@ def keep_document_numbers(items: Column) -> Column:
     return let(F.transform(items, lambda x: x["pos"]), settle)
 
 
-def fragment_items(rows: Column, m: Column) -> Column:
-    """Items of one table whose mapping is settled."""
+def fragment_items(rows: Column, m: Column, built: Column) -> Column:
+    """Items of one table whose mapping is settled; `built` holds those of its rows where they are known."""
 
     def read(number):
-        items = F.transform(
-            F.filter(rows, lambda r: ~r["s"]),
-            lambda r: let(
-                build_item(r["c"], m),
-                lambda x: F.when(
-                    x.isNotNull(),
-                    F.struct(
-                        F.coalesce(F.get(r["c"], number)["k"], x["pos"]).alias("pos"), *[x[k].alias(k) for k in "dqpat"]
-                    ),
-                ),
-            ),
-        )
+        def placed(x, r):
+            pos = F.coalesce(F.get(r["c"], number)["k"], x["pos"]).alias("pos")
+            return F.when(x.isNotNull(), F.struct(pos, *[x[k].alias(k) for k in "dqpat"]))
+
+        made = F.coalesce(built, _built(rows, m).cast(f"array<{ITEM}>"))
+        items = F.zip_with(made, F.filter(rows, lambda r: ~r["s"]), placed)
         return let(F.array_compact(items), strip_row_numbers)
 
     return let(number_column(rows, m), read)
@@ -677,11 +695,11 @@ def _read_rows() -> Column:
     zipped = F.arrays_zip(F.col("tables").alias("table"), F.col("plan").alias("step"))
 
     def rows(x):
-        m, below = x["step"]["m"], F.slice(x["table"], 2, F.size(x["table"]))
-        return F.struct(
-            m.alias("m"),
-            F.when(x["step"]["header"], merge_spilled_text(below, m)).otherwise(x["table"]).alias("rows"),
-        )
+        m, below, items = x["step"]["m"], F.slice(x["table"], 2, F.size(x["table"])), x["step"]["items"]
+        fragment = lambda rows, built: F.struct(m.alias("m"), rows.alias("rows"), built.alias("items"))
+        merged = let(merge_spilled_text(below, m), lambda rows: fragment(rows, F.when(rows == below, items)))
+        whole = F.when(_unmapped(below, m), merged).otherwise(fragment(below, items))
+        return F.when(x["step"]["header"], whole).otherwise(fragment(x["table"], items))
 
     return F.transform(F.filter(zipped, lambda x: x["step"]["m"].isNotNull()), rows)
 
@@ -690,7 +708,7 @@ _TABLES = once(lambda: F.transform(table_rows(F.col("markdown")), typed_rows))
 _OWN = once(lambda: own_mappings(F.col("tables")))
 _PLAN = once(lambda: resolve_fragments(F.col("tables"), F.col("own")))
 _FRAGMENTS = once(_read_rows)
-_ITEMS = once(lambda: F.flatten(F.transform("fragments", lambda x: fragment_items(x["rows"], x["m"]))))
+_ITEMS = once(lambda: F.flatten(F.transform("fragments", lambda x: fragment_items(x["rows"], x["m"], x["items"]))))
 _NUMBERED = once(lambda: keep_document_numbers(F.col("items")))
 
 

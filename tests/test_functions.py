@@ -56,3 +56,17 @@ def test_cells(spark):
 
 def test_lines(spark):
     assert values(spark, ["a\n", "a\r\nb\n\n", "", "x y"], text.text_lines) == [["a"], ["a", "b", ""], [], ["x", "y"]]
+
+
+def test_many_entities_take_linear_time(spark):
+    import time
+
+    names = ["&amp;", "&hellip;", "&notit;", "&nosuch;", "&#65;", "&zwnj;", "&CounterClockwiseContourIntegral;"]
+    took = {}
+    for n in (20_000, 100_000):
+        given = " ".join(random.Random(n).choices(names, k=n))
+        df = spark.createDataFrame([(given,)], "t string")
+        started = time.time()
+        assert df.select(markup.unescape_html(c("t")).alias("u")).first().u == html.unescape(given)
+        took[n] = time.time() - started
+    assert took[100_000] < 60
