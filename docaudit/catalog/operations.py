@@ -205,8 +205,20 @@ def _c15_items(s, d):
 
 
 def _c15_status(s, d):
+    return _endings(*_batch(s, d))
+
+
+def _st3_batches(s, d):
+    """The batch's uploads arriving in two files, each of them a micro-batch."""
+    folder = shared_dir(s, "uploads")
+    uploads = batch(s, d)
+    uploads.repartition(2, (c("arrival") % 2)).write.parquet(folder)
+    arriving = s.readStream.schema(uploads.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return _endings(*si.stream_batches(arriving, empty_tables(s), AS_OF, NOW, "m1"))
+
+
+def _endings(tables, done):
     """How each upload ended, and what its items answer was found to be."""
-    tables, done = _batch(s, d)
     docs = tables["documents"].select(c("id").alias("document_id"), "status", "failure_reason", c("file_hash").isNull().alias("unhashed"))
     items = tables["line_items"].groupBy("document_id").agg(F.count("*").alias("n_items"))
     unread = tables["validation_errors"].filter("field = 'line_items' and severity = 'critical'").filter(
@@ -376,6 +388,7 @@ QUERIES = {
     "st2_stream_dedupe": _st2,
     "st2_stream_reserve": _st2_table,
     "st3_stream_validate": _st3,
+    "st3_stream_batches": _st3_batches,
     "st4_stream_stale": _st4,
     "st4_stream_timers": _st4_timers,
     "st5_stream_status_counts": _st5,
@@ -631,3 +644,4 @@ ORACLES = {
         WHERE status = 'PROCESSING'""",
 }
 ORACLES["st3_stream_validate"] = rules.ORACLES["v4_assign_status"]
+ORACLES["st3_stream_batches"] = ORACLES["c15_batch_status"]

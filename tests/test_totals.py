@@ -116,3 +116,30 @@ def test_spellings_of_huge_numbers(spark):
         assert {f"{x:.2f}", f"{x:,.2f}", f"{x:g}", f"{int(x):,}"} <= set(forms), x
     odd = spark.createDataFrame([(float("inf"),), (float("-inf"),), (float("nan"),)], "x double")
     assert [r.v for r in odd.select(dates.number_variants(c("x")).alias("v")).collect()] == [["inf"], ["-inf"], ["nan"]]
+
+
+def test_uploads_of_a_stream_end_as_in_batches(spark):
+    from docaudit.session import shared_dir
+    from docaudit.streaming import intake
+
+    schema = ("arrival long, filename string, file_hash string, stored_path string, markdown string, docling_json string,"
+              " page_count int, header_json string, items_json string, findings_json string")
+    first = spark.createDataFrame([upload(1, "5.00"), upload(2, "6.00"), upload(3, "9" * 400)], schema)
+    again = upload(4, "5.00")[:2] + ("h1",) + upload(4, "5.00")[3:]
+    second = spark.createDataFrame([again, upload(5, "5.00")], schema)
+    empty = {n: spark.createDataFrame([], s) for n, s in TABLES.items()}
+    source, folder = shared_dir(spark, "source"), shared_dir(spark, "run")
+    first.coalesce(1).write.parquet(f"{source}/a")
+
+    def drain():
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(source)
+        tables, done = intake.stream_batches(stream, empty, "2025-01-01", "2025-01-01T00:00:00+00:00", folder=folder)
+        return {n: df.count() for n, df in tables.items()}, sorted((r.arrival, r.document_id, r.status, r.skipped) for r in done.collect())
+
+    one, done_one = drain()
+    assert done_one == [(1, 1, "PENDING", False), (2, 2, "ERROR", False), (3, 3, "ERROR", False)]
+    second.coalesce(1).write.parquet(f"{source}/b")
+    both, done = drain()
+    assert done == [*done_one, (4, 1, "PENDING", True), (5, 4, "PENDING", False)]
+    assert both["documents"] == 4 and both["line_items"] == 4
+    assert drain() == (both, done)
