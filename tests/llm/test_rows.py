@@ -5,7 +5,8 @@ from collections import Counter
 
 import pytest
 
-from docaudit.llm import exact_dedup, jaccard_join, mixing, quality_rules
+from docaudit.llm import exact_dedup, jaccard_join, mixing, quality_rules, substring_dedup
+from docaudit.session import settled
 
 SCHEMA = "doc_id long, text string, lang string, source string"
 
@@ -71,3 +72,31 @@ def test_each_row_is_taken_as_often_as_it_is_drawn(table):
     assert taken == Counter(times.groupby("source").times.sum().to_dict())
     # a row of an undrawn half never rides on a drawn one of the same key
     assert taken["b"] < 200
+
+
+def test_repeats_are_cut_from_their_own_row(table):
+    rng = random.Random(6)
+    line = "This very line stands in more than one document of the table."
+    texts = [prose(rng, 60), prose(rng, 60) + "\n" + line + "\nend", line + "\n" + prose(rng, 60), prose(rng, 60)]
+    rows = [(None, texts[0], "en", "a"), (None, texts[1], "en", "a"), (7, texts[2], "en", "a"), (7, texts[3], "en", "a")]
+    got = {r.text: r.removed for r in substring_dedup.without_repeats(table(rows)).collect()}
+    cut = texts[1].replace(line, "")
+    assert set(got) == {texts[0], cut, texts[2], texts[3]}
+    assert [k for k, v in got.items() if v] == [cut]
+
+
+def test_blocks_are_bounded_whatever_the_keys(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(mixing, "settled", lambda df, label: _noted(df, label, sizes))
+    rows = spark.range(5000).selectExpr("cast(null as bigint) as doc_id", "concat('some words ', id) as text", "'en' as lang", "if(id % 5 = 0, 'b', 'a') as source")
+    got = mixing.mix_sources(rows)
+    assert got.count() == 5000 and max(sizes) <= mixing.BLOCK_ROWS
+    for r in got.groupBy("source").agg({"taken": "sum", "target": "max"}).collect():
+        assert abs(r["sum(taken)"] - r["max(target)"]) <= 10
+
+
+def _noted(df, label, sizes):
+    made = settled(df, label)
+    if label == "flown":
+        sizes.append(made.groupBy("seed", "block").count().agg({"count": "max"}).first()[0])
+    return made
