@@ -9,13 +9,16 @@ from ..functions import fixed_values as V
 from ..operators import lifecycle as lc
 from ..operators import rules as ru
 from ..operators import tickets as tk
+from ..operators.lookup import LOOKUP_KEYS
 from ..plans import audit
+from ..plans import reports as rp
 from ..schemas import DOCUMENTS, TICKET, VALIDATION_ERRORS
 from ..session import shared_dir
 from ..sources import files as fl
+from ..sources import stored as sd
 from ..sources import tables as st
 from ..streaming import intake as si
-from . import rules
+from . import reports, rules
 from .adapters import sql
 from .extraction import raw_headers, raw_items
 
@@ -144,6 +147,28 @@ def _tables(s, d):
     return st.read_tables(s, folder)
 
 
+def _dealt(s, d):
+    """The tables dealt by document, written in two calls."""
+    folder, tables = shared_dir(s, "dealt"), _named(s, d)
+    for rest in (0, 1):
+        sd.write_dealt({n: df.filter(c(sd.KEYS[n]) % 2 == rest) for n, df in tables.items()}, folder)
+    return sd.read_dealt(s, folder)
+
+
+def _dealt_pair(s, d):
+    tables = _dealt(s, d)
+    return tables["documents"], tables["line_items"]
+
+
+def _looked_up(s, d):
+    """Details through the layout for look-ups, of as many documents as one call takes."""
+    folder = shared_dir(s, "lookups")
+    sd.write_for_lookups(_named(s, d), folder)
+    tables = st.read_tables(s, folder)
+    newest = [r[0] for r in tables["documents"].select("id").orderBy(F.desc("id")).limit(LOOKUP_KEYS).collect()]
+    return rp.detail_of(tables, newest)["header"]
+
+
 def _legacy(s, d):
     docs = D(s, d).withColumn("fields_json", F.expr(
         "if(id % 10 = 0, to_json(named_struct('vendor_name', 'Old', 'total_amount', 5.5D, 'line_items',"
@@ -374,6 +399,10 @@ QUERIES = {
     "t6_delete_tickets": lambda s, d: tk.delete_tickets(tickets(s, d), tickets(s, d).filter("number % 4 = 0").select("slug"))[0].select("slug"),
     "io1_read_uploads": _uploads,
     "io2_read_tables": lambda s, d: _tables(s, d)["documents"].select("id", "status", "page_count", "total_amount", "created_at"),
+    "io2_dealt_errors": lambda s, d: _dealt(s, d)["validation_errors"],
+    "io4_dealt_items": lambda s, d: rp.items_with_document(*_dealt_pair(s, d)),
+    "q7_dealt_totals": lambda s, d: rp.items_vs_totals(*_dealt_pair(s, d)),
+    "q15_looked_up_details": _looked_up,
     "io4_write_tables": lambda s, d: _tables(s, d)["line_items"].select("id", *_ITEM),
     "io5_read_tickets": _ticket_files,
     "io6_write_tickets": _write_read_tickets,
@@ -643,5 +672,9 @@ ORACLES = {
                   FROM events GROUP BY 1, 2) GROUP BY 1)
         WHERE status = 'PROCESSING'""",
 }
+ORACLES["io2_dealt_errors"] = sql("SELECT * FROM inv_errors", "inv_errors")
+ORACLES["io4_dealt_items"] = reports.ORACLES["q5_items_with_document"]
+ORACLES["q7_dealt_totals"] = reports.ORACLES["q7_items_vs_totals"]
+ORACLES["q15_looked_up_details"] = f"SELECT * FROM ({reports.ORACLES['q15_document_detail']}) ORDER BY id DESC LIMIT {LOOKUP_KEYS}"
 ORACLES["st3_stream_validate"] = rules.ORACLES["v4_assign_status"]
 ORACLES["st3_stream_batches"] = ORACLES["c15_batch_status"]
