@@ -158,7 +158,9 @@ def mix_sources(
     )
     levels, deepest = [], goals.agg(F.ceil(F.max("n") / BLOCK_ROWS)).first()[0] or 0
     while deepest:
-        blocked = open_.withColumn("block", F.pmod(F.xxhash64(F.lit(len(levels)), "draw", "key_text"), F.col("blocks")))
+        # dealt by number, so that no block exceeds BLOCK_ROWS whatever the keys are
+        numbered = number_rows(open_, ["seed"], [F.col("draw"), F.col("key_text"), F.col("size"), F.col("row")], "number")
+        blocked = numbered.withColumn("block", F.pmod("number", F.col("blocks"))).drop("number")
         flown = blocked.groupBy("seed", "block").applyInPandas(_fly_block, blocked.schema)
         flown = settled(flown, "flown")
         levels.append(flown.filter("pi = 0 or pi = 1").select(F.col("row").alias("__row"), (F.col("pi") == 1).alias("drawn")))
