@@ -193,7 +193,8 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in zip(*rows)] or [pa.array([], pa.string())] * 6, names=names)
 
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri"]
-    spread = archives.repartition("path")
+    # a given number of partitions, as archives are many megabytes behind a short path
+    spread = archives.repartition(int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
     return spread.mapInArrow(read, ", ".join(f"{n} string" for n in names)).select(
         *[F.col(n).cast("long").alias(n) if n in ("page_id", "payload_bytes", "refers_to") else n for n in names]
     )
