@@ -158,7 +158,7 @@ def _descend(tree: Tree, starts: DataFrame, requests: DataFrame) -> DataFrame:
             *[f"f.{c}" for c in along[:-1]], F.array_append("f.path", segment).alias("path"), "w.rank",
             F.element_at("f.children", digit + 1).alias("digest"), "f.height", *[f"w.{c}" for c in asked if level == 1],
         )
-    alone = starts.filter("height = 0").alias("f").join(requests.alias("w"), _same("f", "w", groups) & (F.col("w.rank") == 0))
+    alone = starts.filter("height = 0").alias("f").join(requests.alias("w"), _same("f", "w", [*groups, "rank"]))
     columns = [*along, "rank", "digest", *asked]
     alone = alone.select(*[f"f.{c}" for c in along], "w.rank", "f.digest", *[f"w.{c}" for c in asked])
     found = here.select(columns).unionByName(alone) if tree.levels else alone
