@@ -25,41 +25,97 @@ MARGIN = 0.6
 """Least mean log-likelihood ratio per character, in nats."""
 BACKOFF = 4.0
 """Transitions that the character's own frequency counts for."""
-
+BLOCK = 512
+"""Elements of an array that are merged one by one."""
 
 SPANS = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 KINDS = ["assign", "access", "hex", "model"]
 
 
+def _let(value: Column, body) -> Column:
+    """What `body` makes of a value that is computed once, however often it is used in lambdas."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _running(values: Column, merge) -> Column:
+    """For each element of an array of numbers, all up to it merged (their sum, say).
+
+    Appending copies an array, so elements are merged within blocks first, and then blocks.
+    """
+
+    def fold(part):
+        return F.aggregate(
+            part, F.array().cast("array<int>"),
+            lambda a, x: F.array_append(a, F.coalesce(merge(F.get(a, F.size(a) - 1), x), x)),
+        )
+
+    def join(blocks):
+        return _let(
+            fold(F.transform(blocks, lambda x: F.get(x, F.size(x) - 1))),
+            lambda sums: F.flatten(F.transform(
+                blocks,
+                lambda x, i: F.transform(x, lambda y: F.when(i > 0, merge(F.get(sums, i - 1), y)).otherwise(y)),
+            )),
+        )
+
+    def blocked(v):
+        starts = F.sequence(F.lit(1), F.size(v), F.lit(BLOCK))
+        return _let(F.transform(starts, lambda at: fold(F.slice(v, at, BLOCK))), join)
+
+    return _let(values, lambda v: F.when(F.size(v) > 0, blocked(v)).otherwise(v))
+
+
 def _places(text: Column, pattern: str, kind: str, group: int = 0) -> Column:
     """Spans of the leftmost non-overlapping matches, in code points.
 
     What lies between the matches and the matches themselves take turns, so that a match
-    starts behind all pieces up to its own and all matches before it.
+    ends behind all pieces up to its own and all matches up to itself.
     """
-    pieces = F.split(text, pattern)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    steps = F.transform(
-        found, lambda m, i: F.length(F.get(pieces, i)) + F.when(i > 0, F.length(F.get(found, i - 1))).otherwise(0)
-    )
-    walk = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda a, x: F.struct((a["at"] + x).alias("at"), F.array_append(a["starts"], a["at"] + x).alias("starts")),
-        lambda a: a["starts"],
-    )
-    spans = F.transform(
-        F.arrays_zip(walk.alias("start"), found.alias("match"), values.alias("value")),
-        lambda x: F.struct(
-            x["start"].alias("start"),
-            F.lit(KINDS.index(kind)).alias("rank"),
-            (x["start"] + F.length(x["match"])).alias("end"),
-            F.lit(kind).alias("kind"),
-            x["value"].alias("value"),
-        ),
-    )
-    return F.when(text.rlike(pattern), spans).otherwise(F.array()).cast(SPANS)
+    match, value = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (0, group))
+    pieces = F.arrays_zip(F.split(text, pattern).alias("piece"), match.alias("match"), value.alias("value"))
+    # the last piece has no match behind it
+    found = F.filter(pieces, lambda x: x["match"].isNotNull())
+
+    def spans(found):
+        ends = _running(
+            F.transform(found, lambda x: F.length(x["piece"]) + F.length(x["match"])), lambda a, x: a + x
+        )
+        return F.zip_with(
+            found, ends,
+            lambda x, end: F.struct(
+                (end - F.length(x["match"])).alias("start"),
+                F.lit(KINDS.index(kind)).alias("rank"),
+                end.alias("end"),
+                F.lit(kind).alias("kind"),
+                x["value"].alias("value"),
+            ),
+        )
+
+    return F.when(text.rlike(pattern), _let(found, spans)).otherwise(F.array()).cast(SPANS)
+
+
+def _apart(tokens: Column, base: Column) -> Column:
+    """The tokens that overlap no span of the base.
+
+    Base spans by their start and tokens by their end are put in order; a token is apart if all
+    base spans that start before its end also end before its start.
+    """
+
+    def event(at, is_base, reach):
+        return lambda x: F.struct(
+            x[at].alias("at"), F.lit(is_base).alias("is_base"), (x["end"] if reach else F.lit(0)).alias("reach"), x.alias("span")
+        )
+
+    events = F.sort_array(F.concat(F.transform(tokens, event("end", 0, False)), F.transform(base, event("start", 1, True))))
+
+    def clear(events):
+        reach = _running(F.transform(events, lambda x: x["reach"]), lambda a, x: F.when(a > x, a).otherwise(x))
+        kept = F.zip_with(
+            events, reach, lambda x, r: F.when((x["is_base"] == 0) & (r <= x["span"]["start"]), x["span"])
+        )
+        return F.filter(kept, lambda x: x.isNotNull())
+
+    return F.when((F.size(tokens) > 0) & (F.size(base) > 0), _let(events, clear)).otherwise(tokens)
 
 
 def _spelled(spans: Column) -> Column:
@@ -82,20 +138,13 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         _places(t, HEX, "hex").alias("__hex"),
         _places(t, TOKEN, "model").alias("__tokens"),
     ).withColumn("base", F.concat("__assign", "__access", "__hex"))
-    apart = F.filter(
-        "__tokens",
-        lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])),
-    )
-    return found.select("__key", "base", apart.alias("tokens"))
+    return found.select("__key", "base", _apart(F.col("__tokens"), F.col("base")).alias("tokens"))
 
 
 def _places_of(token: Column) -> Column:
     """A cell of the transition table for each character of a token: its predecessor and itself."""
-    return F.transform(
-        F.sequence(F.lit(1), F.length(token)),
-        lambda i: F.when(i > 1, F.instr(F.lit(ALPHABET), F.substr(token, i - 1, F.lit(1)))).otherwise(0) * WIDTH
-        + F.instr(F.lit(ALPHABET), F.substr(token, i, F.lit(1))),
-    )
+    codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    return _let(codes, lambda v: F.transform(v, lambda c, i: F.when(i > 0, F.get(v, i - 1)).otherwise(0) * WIDTH + c))
 
 
 def log_ratios(scanned: DataFrame) -> list[float]:
@@ -132,6 +181,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     never overlaps a span of the base, and base spans always stay. Null texts count as empty
     and have no spans; an empty table gives no rows; repeated rows are scanned each; extra
     columns are ignored. Without samples of either kind the models agree and report nothing.
+    The work grows with the length of a text, and with n log n of its matches.
     """
     scanned = settled(candidates(docs, key, text), "candidates")
     table = F.split(F.lit(",".join(map(repr, log_ratios(scanned)))), ",").cast("array<double>")

@@ -54,3 +54,26 @@ def test_markov_models_find_what_no_pattern_names(spark, odd):
 
 def test_empty_table(none):
     assert secret_scan.scan(none).count() == 0
+
+
+def test_many_tokens_and_long_ones_in_one_text(spark):
+    """Spans of a text of 40,000 long tokens, over many blocks, among base spans that overlap them."""
+    rng = random.Random(5)
+    drawn = lambda n: "".join(rng.choices(string.ascii_letters + string.digits, k=n))
+    parts = []
+    for i in range(40_000):
+        kind = rng.randrange(8)
+        parts.append(f"token={drawn(12)}" if kind == 0 else "\U0001f600" if kind == 1 else "".join(rng.choices("0123456789abcdef", k=24)) + drawn(4) if kind == 2 else drawn(20))
+    text = " ".join(parts)
+    docs = spark.createDataFrame([(1, text), (2, drawn(1_000_000)), (3, "")], "doc_id long, text string")
+    rows = {r[0]: r for r in secret_scan.candidates(docs).collect()}
+    taken = [(m.start(), m.end()) for _, p, least in PATTERNS for m in p.finditer(text) if len(m[2] if p is PATTERNS[0][1] else m[0]) >= least]
+    covered = bytearray(len(text))
+    for a, b in taken:
+        covered[a:b] = b"x" * (b - a)
+    want = [m.span() for m in re.finditer(secret_scan.TOKEN, text) if not any(covered[m.start() : m.end()])]
+    assert sorted((x.start, x.end) for x in rows[1].base) == sorted(taken)
+    assert sorted((x.start, x.end) for x in rows[1].tokens) == want and len(want) > 20_000
+    assert [(x.start, x.end) for x in rows[2].tokens] == [(0, 1_000_000)] and rows[3].tokens == []
+    got = {r.doc_id: r for r in secret_scan.scan(docs).collect()}
+    assert got[1].base_sha256 == hashlib.sha256(base(text).encode()).hexdigest()
