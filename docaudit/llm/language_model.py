@@ -26,8 +26,9 @@ GROUP_TOKENS = 1 << 21
 """Tokens that a task holds at once."""
 LONG_TEXT = 1 << 15
 """Tokens from which on a text is scored by products of the transfer matrices of its stretches."""
-BROADCAST_WORDS = 16_000_000
-"""Most distinct words that are broadcast, at 16 bytes each; a larger vocabulary is joined."""
+FREQUENT = 1 << 20
+"""A word is broadcast, at 16 bytes, if it makes at least one in so many of the training tokens, so that
+there are at most so many of them; the others are joined, and none of them is a hot key."""
 END = np.uint64(0)
 
 
@@ -228,7 +229,7 @@ def _by_class(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens, distinct
 
 
-def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     The base is a unigram model with half a count added to every token and to the unknown one.
@@ -236,8 +237,8 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", broadc
     forward recursion, times that of each word within its class, smoothed in the same way; the
     words unknown to a class share its half count.
 
-    Word counts reach the texts by broadcast up to `broadcast_words` distinct words, beyond by a
-    join on the word. Null and empty texts are the end alone. If nothing is learnt from, all
+    Counts of words that make one in `frequent` training tokens are broadcast, and those of all
+    other words joined with the distinct words of each text. Null and empty texts are the end alone. If nothing is learnt from, all
     counts are 0. A null key is never held out; repeated rows are scored each; an empty table
     gives no rows; extra columns are ignored.
     """
@@ -247,12 +248,11 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", broadc
     in_class, words_of = _by_class(counts)
     model = train(settled(prepare(docs, key, text), "classes"), in_class)
     sent = spark.sparkContext.broadcast((model, in_class, words_of))
-    table = None
-    if distinct <= broadcast_words:
-        known = counts.toArrow()
-        words, n = known.column("word").to_numpy().view(np.uint64), known.column("n").to_numpy()
-        order = np.argsort(words)
-        table = spark.sparkContext.broadcast((words[order], n[order]))
+    least = max(1, -(-total // frequent))
+    often = counts.filter(F.col("n") >= least).toArrow()
+    words, n = often.column("word").to_numpy().view(np.uint64), often.column("n").to_numpy()
+    order = np.argsort(words)
+    table = spark.sparkContext.broadcast((words[order], n[order]))
 
     read = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = read.schema["key"].dataType.simpleString()
@@ -266,32 +266,50 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", broadc
         return np.log10((n + 0.5) / base_unit), np.where(of == CLASSES, 0.0, inner)
 
     def states(batches):
-        """Forward scores; with the words' own scores if their counts are at hand."""
+        """Forward scores, scores of the frequent words, and what other words a text holds how often."""
         for group in _grouped(batches):
             tokens, bounds = _tokens(group.column("text"))
             size, text_of = np.diff(bounds), np.repeat(np.arange(group.num_rows), np.diff(bounds))
-            columns = [group.column("key").combine_chunks(), pa.array(size)]
-            columns.append(pa.array(sent.value[0].log10(_classes(tokens), bounds)))
-            if table is not None:
-                word, back = np.unique(tokens, return_inverse=True)
-                words, n = table.value
-                at = np.minimum(np.searchsorted(words, word), max(len(words) - 1, 0))
-                c = np.where(words[at] == word, n[at], 0) if len(words) else np.zeros(len(word))
-                base, inner = within(word, c)
-                for x, t in ((c[back] > 0, pa.int64()), (base[back], pa.float64()), (inner[back], pa.float64())):
-                    columns.append(pa.array(np.bincount(text_of, x, group.num_rows)).cast(t))
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    names = ["key", "n_tokens", "hidden"] + (["n_known", "base_score", "inner"] if table is not None else [])
-    found = f"key {kind}, n_tokens long, hidden double"
-    if table is not None:
-        scored = read.mapInArrow(states, found + ", n_known long, base_score double, inner double")
-    else:
-        numbered = settled(read.withColumn("row", F.monotonically_increasing_id()), "numbered")
-        scored = _joined(numbered, counts, within, states, found)
-    return scored.select(
-        F.col("key").alias(key), held_out(F.col("key"), 1).alias("held_out"), "n_tokens", "n_known",
-        F.lit(total).cast("long").alias("train_tokens"), "base_score", (F.col("hidden") + F.col("inner")).alias("score"),
+            hidden = sent.value[0].log10(_classes(tokens), bounds)
+            word, back = np.unique(tokens, return_inverse=True)
+            words, n = table.value
+            at = np.minimum(np.searchsorted(words, word), max(len(words) - 1, 0))
+            met = words[at] == word if len(words) else np.zeros(len(word), bool)
+            base, inner = within(word, n[at] if len(words) else np.zeros(len(word)))
+            sums = [np.bincount(text_of, np.where(met, x, 0)[back], group.num_rows) for x in (met, base, inner)]
+            rare = np.flatnonzero(~met[back])
+            pair, times = np.unique(text_of[rare] * len(word) + back[rare], return_counts=True)
+            parts = pa.array(np.searchsorted(pair, np.arange(group.num_rows + 1) * len(word)).astype(np.int32))
+            columns = [group.column("key").combine_chunks(), pa.array(size), pa.array(hidden), pa.array(sums[0]).cast(pa.int64())]
+            columns += [pa.array(x) for x in sums[1:]]
+            columns.append(pa.ListArray.from_arrays(parts, pa.array(word[pair % len(word)].view(np.int64))))
+            columns.append(pa.ListArray.from_arrays(parts, pa.array(times)))
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in found.split(", ")])
+
+    def rate(batches):
+        for b in batches:
+            n, times = b.column("n").to_numpy(), b.column("times").to_numpy()
+            base, inner = within(b.column("word").to_numpy().view(np.uint64), n)
+            columns = [b.column("row"), *(pa.array(x * times) for x in ((n > 0).astype(np.int64), base, inner))]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "known", "base", "within"])
+
+    found = f"key {kind}, n_tokens long, hidden double, n_known long, base_score double, inner double, words array<long>, times array<long>"
+    scored = settled(read.mapInArrow(states, found).withColumn("row", F.monotonically_increasing_id()), "scored")
+    rare = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", "x.words", "x.times")
+    rare = rare.withColumnRenamed("words", "word").join(counts.filter(F.col("n") < least), "word", "left")
+    rated = rare.select("row", "word", "times", F.coalesce("n", F.lit(0)).alias("n")).mapInArrow(
+        rate, "row long, known long, base double, within double"
+    )
+    sums = rated.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("known", "base", "within")])
+    whole = scored.drop("words", "times").join(sums, "row", "left")
+
+    def both(own, joined):
+        return F.col(own) + F.coalesce(joined, F.lit(0))
+
+    return whole.select(
+        F.col("key").alias(key), held_out(F.col("key"), 1).alias("held_out"), "n_tokens", both("n_known", "known").alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"), both("base_score", "base").alias("base_score"),
+        (F.col("hidden") + both("inner", "within")).alias("score"),
     )
 
 
@@ -306,40 +324,3 @@ def _grouped(batches):
             waiting, size = [], 0
     if waiting:
         yield pa.Table.from_batches(waiting)
-
-
-def _joined(numbered: DataFrame, counts: DataFrame, within, states, found: str) -> DataFrame:
-    """Scores where the vocabulary is too large to broadcast: each text's distinct words are
-    joined with their counts, and the parts summed by text."""
-
-    def spread(batches):
-        for b in batches:
-            tokens, bounds = _tokens(b.column("text"))
-            row = np.repeat(b.column("row").to_numpy(), np.diff(bounds))
-            order = np.lexsort((tokens, row))
-            row, tokens = row[order], tokens[order]
-            first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (tokens[1:] != tokens[:-1])]))
-            times = np.diff(np.append(first, len(row)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row[first]), pa.array(tokens[first].view(np.int64)), pa.array(times)], names=["row", "word", "times"]
-            )
-
-    def rate(batches):
-        for b in batches:
-            n, times = b.column("n").to_numpy(), b.column("times").to_numpy()
-            base, inner = within(b.column("word").to_numpy().view(np.uint64), n)
-            columns = [b.column("row"), *(pa.array(x * times) for x in ((n > 0).astype(np.int64), base, inner))]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "n_known", "base_score", "inner"])
-
-    words = numbered.select("row", "text").mapInArrow(spread, "row long, word long, times long")
-    met = words.join(counts, "word", "left").select("row", "word", "times", F.coalesce("n", F.lit(0)).alias("n"))
-    parts = met.mapInArrow(rate, "row long, n_known long, base_score double, inner double")
-    sums = parts.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("n_known", "base_score", "inner")])
-
-    def hidden(batches):
-        for group in _grouped(batches):
-            for got in states([group.select(["key", "text"]).combine_chunks().to_batches()[0]]):
-                yield pa.RecordBatch.from_arrays([group.column("row").combine_chunks(), *got.columns], names=["row", *got.schema.names])
-
-    own = numbered.mapInArrow(hidden, "row long, " + found)
-    return own.join(sums, "row")

@@ -14,7 +14,8 @@ def tokens(text):
 
 def test_base_against_brute_force_and_both_ways(odd, odd_rows, none):
     got = lm.score_texts(odd).collect()
-    joined = lm.score_texts(odd, broadcast_words=0).collect()
+    joined = lm.score_texts(odd, frequent=1).collect()
+    some = lm.score_texts(odd, frequent=20).collect()
     held = lambda key: key is not None and zlib.crc32(str(key).encode()) % 5 == 1
     c = Counter(w for k, t, *_ in odd_rows if not held(k) for w in tokens(t))
     n, v = sum(c.values()), len(c)
@@ -23,7 +24,7 @@ def test_base_against_brute_force_and_both_ways(odd, odd_rows, none):
         w = tokens(text)
         base = sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
         want.append((str(key), held(key), len(w), sum(c[x] > 0 for x in w), n, round(base, 4)))
-    for rows in (got, joined):
+    for rows in (got, joined, some):
         assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in rows) == sorted(want)
     a, b = (sorted((str(r.doc_id), r.n_tokens, r.score) for r in rows) for rows in (got, joined))
     assert all(x[:2] == y[:2] and abs(x[2] - y[2]) < 1e-6 * abs(x[2]) + 1e-9 for x, y in zip(a, b))
