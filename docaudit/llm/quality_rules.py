@@ -31,7 +31,7 @@ def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """Counts of every text: key, lang, source and what it counts.
 
     Null texts count as empty. A document of fewer than three words has no window. Windows count
-    as equal if their hashes agree in 64 bits less those that number the words of the text.
+    as equal if their hashes agree in 64 bits.
     """
     n = F.col("n_words")
     base = docs.select(
@@ -51,23 +51,21 @@ def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         F.filter(F.split("__text", "\n"), lambda x: x.rlike(f"[^{BLANK}]")).alias("__lines"),
         hashes.alias("__h"),
     )
-    # the room for places is the power of two above the number of words
-    roomy = counted.withColumn("__room", F.expr("shiftleft(1L, length(bin(n_words)))"))
     h = F.col("__h")
     windows = F.transform(
         F.slice(h, 1, n - 2),
-        lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2))
-        .bitwiseAND(-F.col("__room")).bitwiseOR(i.cast("long")),
+        lambda x, i: F.struct(F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)).alias("hash"), i.alias("at")),
     )
-    # a window is its hash in the high bits and its place in the low ones: sorting brings equal ones together
-    sorted_ = roomy.withColumn("__s", F.when(n >= 3, F.sort_array(windows)).otherwise(F.array().cast("array<bigint>")))
-    s, room = F.col("__s"), F.col("__room")
+    # sorting brings equal windows together
+    none = F.array().cast("array<struct<hash:bigint,at:int>>")
+    sorted_ = counted.withColumn("__s", F.when(n >= 3, F.sort_array(windows)).otherwise(none))
+    s = F.col("__s")
 
-    def same(x, y):
-        return F.coalesce(x.bitwiseAND(-room) == y.bitwiseAND(-room), F.lit(False))
+    def same(x, i):
+        return F.coalesce(x["hash"] == F.get(s, i)["hash"], F.lit(False))
 
-    twice = F.filter(s, lambda x, i: same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1)))
-    places = sorted_.withColumn("__p", F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(room - 1))))
+    twice = F.filter(s, lambda x, i: same(x, i - 1) | same(x, i + 1))
+    places = sorted_.withColumn("__p", F.sort_array(F.transform(twice, lambda x: x["at"])))
     p = F.col("__p")
     # windows cover three words each; neighbours share some
     covered = F.aggregate(
