@@ -49,9 +49,13 @@ def database_options(
     return options
 
 
-def read_database(spark: SparkSession, **kwargs) -> DataFrame:
-    """IO3: needs the JDBC driver on the classpath."""
-    return spark.read.format("jdbc").options(**database_options(**kwargs)).load()
+def read_database(spark: SparkSession, *, lower: int, upper: int, **kwargs) -> DataFrame:
+    """IO3: needs the JDBC driver on the classpath.
+
+    The bounds are the table's least and largest id; ids beyond them would all lie in the
+    first or last partition, so there is no default.
+    """
+    return spark.read.format("jdbc").options(**database_options(lower=lower, upper=upper, **kwargs)).load()
 
 
 def write_database(df: DataFrame, mode: str = "append", **kwargs) -> None:

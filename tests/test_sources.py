@@ -2,6 +2,7 @@ import hashlib
 import json
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from docaudit.schemas import DOCUMENTS
@@ -34,6 +35,8 @@ def test_database_options():
     plain = tables.database_options("h", "d", "dbo.documents")
     assert plain["partitionColumn"] == "id" and "integratedSecurity=true" in plain["url"] and "user" not in plain
     assert tables.database_options("h", "d", "t", "u", "p")["password"] == "p"
+    with pytest.raises(TypeError):
+        tables.read_database(None, host="h", database="d", table="t")
 
 
 def test_windows_and_stale_timers(spark):
