@@ -97,3 +97,15 @@ def test_session_windows(spark):
     stream = spark.readStream.schema(df.schema).parquet(folder)
     got = intake.collect_stream(intake.error_windows(stream, c("ts"), "session"), "session")
     assert sorted(r.n for r in got.filter("severity = 'critical'").collect()) == [1, 2]
+
+
+def test_a_table_is_a_stream_be_it_a_file_or_a_folder_of_parts(spark, tmp_path):
+    rows = spark.range(12).selectExpr("id as arrival", "concat('h', id % 5) as file_hash")
+    rows.repartition(3).write.parquet(f"{tmp_path}/parts.parquet")
+    whole = spark.read.parquet(f"{tmp_path}/parts.parquet").toPandas()
+    whole.to_parquet(f"{tmp_path}/whole.parquet")
+    for name in ("parts", "whole"):
+        stream = intake.stream_table(spark, str(tmp_path), name)
+        assert sorted(r[0] for r in intake.collect_stream(stream, name).select("arrival").collect()) == list(range(12))
+        hashes = intake.dedupe_in_stream(intake.stream_table(spark, str(tmp_path), name)).select("file_hash")
+        assert sorted(r[0] for r in intake.collect_stream(hashes, "hashes").collect()) == [f"h{i}" for i in range(5)]
