@@ -143,3 +143,30 @@ def test_uploads_of_a_stream_end_as_in_batches(spark):
     assert done == [*done_one, (4, 1, "PENDING", True), (5, 4, "PENDING", False)]
     assert both["documents"] == 4 and both["line_items"] == 4
     assert drain() == (both, done)
+
+
+def test_a_batch_reads_its_uploads_and_judges_its_headers_once(spark, monkeypatch):
+    from docaudit import session
+    from docaudit.operators import grounding
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    schema = ("arrival long, filename string, file_hash string, stored_path string, markdown string, docling_json string,"
+              " page_count int, header_json string, items_json string, findings_json string")
+    uploads = spark.createDataFrame([upload(i, "5.00") for i in range(1, 5)], schema).mapInArrow(counted, schema)
+    written = []
+
+    def noted(df, label):
+        written.append(label)
+        return session.settled(df, label)
+
+    monkeypatch.setattr(grounding, "settled", noted)
+    tables, done = audit.process_batch({n: spark.createDataFrame([], s) for n, s in TABLES.items()}, uploads, "2025-01-01", "2025-01-01T00:00:00+00:00")
+    assert done.count() == 4 and tables["line_items"].count() == 4 and tables["documents"].count() == 4
+    assert read.value == 4
+    assert written == ["headers"]
