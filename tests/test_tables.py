@@ -112,3 +112,45 @@ def test_wide_tables_take_seconds(spark):
     assert time.time() - started < 60
     first = lines[0].strip("| ").split(" | ")
     assert len(got) == 500 and (got[0].unit_price, got[0].quantity, got[0].amount) == (float(first[11]), float(first[17]), float(first[25]))
+
+
+def test_units_of_word_columns_still_bar_quantities(spark):
+    rows = [["red anvil", "2 pcs each", "3", "4", "12"], ["blue anvil", "5 pcs all", "5", "6", "30"], ["iron anvil", "1 pcs", "2", "8", "16"]]
+    bare = [[r[0], "plain words", *r[2:]] for r in rows]
+    marked = [[*r[:1], "plain words", f"{r[2]} pcs.", *(f"€ {x}" for x in r[3:])] for r in rows]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate((rows, bare, marked))], "i int, t array<array<string>>")
+    typed = df.select("i", tb.typed_rows(F.col("t")).alias("t"))
+    every = tb.candidate_mappings(tb.column_shapes(F.col("t")))
+    scored = F.transform(every, lambda m: tb.score_mapping(F.col("t"), m))
+    found = tb.best_candidate(F.col("t"), tb.column_shapes(F.col("t"), numeric=True), F.lit(0.0))
+    for r in typed.select(every.alias("m"), scored.alias("s"), found.alias("best")).collect():
+        share = [x.ok / x.n if x.n >= 2 else 0.0 for x in r.s]
+        assert r.best == (r.m[share.index(max(share))] if max(share, default=0) > 0 else None)
+
+
+def test_summary_rows_without_a_likely_word(spark):
+    from docaudit.functions.cells import is_summary_row
+
+    rows = [["Discount:", "5"], [" 할인 ", "1"], ["red anvil", "5"], ["red anvil", None], [None, "balance"], ["Sub  Total", "x"], ["discounted", "5"]]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, r array<string>")
+    got = [x.v for x in df.orderBy("i").select(is_summary_row(F.col("r")).alias("v")).collect()]
+    assert got == [True, True, False, None, True, True, False]
+
+
+def test_lines_move_by_part_once_and_stay_with_their_order(spark, tmp_path):
+    from docaudit import fixtures
+
+    spark.sql("select 1L as l_orderkey, id + 1 as l_linenumber, id % 2 as l_partkey, 1L as l_suppkey, timestamp '2024-01-01' as l_shipdate,"
+              " 10.0D as l_extendedprice, 2.0D as l_quantity from range(4)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql("select * from values (0L, 'a'), (0L, 'b'), (2L, 'x'), (null, 'n') as t(p_partkey, p_name)").write.parquet(f"{tmp_path}/part.parquet")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        items = fixtures.inv_items_exact(spark, str(tmp_path))
+        # a part that comes twice gives two rows of one place; one that is missing gives a row without a name
+        assert sorted((r.position, r.description or "") for r in items.collect()) == [
+            (1, "a"), (1, "b"), (2, ""), (3, "a"), (3, "b"), (4, "")]
+        plan = items.groupBy("document_id").count()._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
