@@ -150,7 +150,7 @@ def test_lines_move_by_part_once_and_stay_with_their_order(spark, tmp_path):
         # a part that comes twice gives two rows of one place; one that is missing gives a row without a name
         assert sorted((r.position, r.description or "") for r in items.collect()) == [
             (1, "a"), (1, "b"), (2, ""), (3, "a"), (3, "b"), (4, "")]
-        plan = items.groupBy("document_id").count()._jdf.queryExecution().executedPlan().toString()
+        plan = fixtures.md_single(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 3
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
